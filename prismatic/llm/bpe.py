@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,22 +21,30 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .shared import as_array, ids_and_texts, materialize, pack, ragged, unpack
-from .wordblocks import SCHEMA, VALUES, blocks, buckets_for, dealt, header, reassembled, record, tokens_of
+from .wordblocks import SCHEMA, VALUES, blocks, buckets_for, dealt, header, reassembled, record, stepped, tokens_of, unstepped
 
 #: Characters whose class (letter, number, space, other) is the same in every Unicode version of the last ten years. A text with others is handed
 #: to the library whole, as one pre-token, so that a difference between two libraries' tables can't move a boundary.
 STABLE = "[\\t-\\r\\x20-\\x7e\\xa0-\\u024f\\u0370-\\u03ff\\u0400-\\u045f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3]*"
 
 
+#: For texts of these characters alone, the same classes are spelled out for the faster library: letters, and numbers.
+PLAIN = "[\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*"
+LETTERS, NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+
+
 def splitter(pattern: str):
     """texts -> flat pre-tokens and each text's start."""
-    find, stable = regex.compile(pattern).findall, regex.compile(STABLE).fullmatch
+    find, stable, plain = regex.compile(pattern).findall, regex.compile(STABLE).fullmatch, re.compile(PLAIN).fullmatch
+    # only the classes differ from the pattern; both are tested to agree
+    spelled = re.sub(r"\[\^\\s\\p\{L\}\\p\{N\}\]", lambda m: f"[^\\s{LETTERS}{NUMBERS}]", pattern).replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", f"[{NUMBERS}]")
+    fast = re.compile(spelled).findall
 
     def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         flat: list[str] = []
         at = [0]
         for t in texts.to_pylist():
-            flat += find(t) if stable(t) else [t] if t else []
+            flat += fast(t) if plain(t) else find(t) if stable(t) else [t]
             at.append(len(flat))
         return pa.array(flat, pa.large_string()), np.array(at, dtype=np.int64)
 
@@ -84,7 +93,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> tuple[DataFrame, DataFra
         for (block, _), (codes, _) in zip(packs, own):
             w = which[lo : lo + len(codes)]
             lo += len(codes)
-            rows.append((VALUES, block, -1, pack(codes, lens[w].astype(np.uint32), ragged(flat, start[w], lens[w]))))
+            rows.append((VALUES, block, -1, pack(stepped(codes), lens[w].astype(np.uint32), ragged(flat, start[w], lens[w]))))
             if len(rows) >= 512:
                 yield record(rows)
                 rows = []
@@ -101,7 +110,7 @@ def put_together(table: DataFrame, values: DataFrame, path: str, schema: str, fi
         if "table" not in made:
             made["table"] = {v: k for k, v in load_ranks(path).items()}
         ids, counts, codes = header(doc)
-        own = [(np.frombuffer(c, np.uint32), np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(v, np.uint32)) for c, n, v in got]
+        own = [(unstepped(c), np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(v, np.uint32)) for c, n, v in got]
         size = sum(len(c) for c, _, _ in own)
         lens, start, at = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), 0
         for c, n, v in own:

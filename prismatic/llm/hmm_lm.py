@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import as_array, ids_and_texts, materialize, pack, remainder, unpack, words_of
-from .wordblocks import DOCS, VALUES, blocks, buckets_for, dealt, header, reassembled, tokens_of
+from .wordblocks import DOCS, VALUES, blocks, buckets_for, dealt, header, reassembled, stepped, tokens_of, unstepped
 
 SEGMENT = 64
 #: Stretches in one matrix of the training pass.
@@ -119,7 +119,7 @@ def global_counts(table: DataFrame, n_buckets: int, classes: int) -> DataFrame:
         cls = (hashes(coded.dictionary) % np.uint64(classes)).astype(np.int64)
         rows, lo = [], 0
         for (block, _), (codes, _) in zip(packs, own):
-            rows.append((VALUES, block, pack(codes, seen[which[lo : lo + len(codes)]]), None, None, None))
+            rows.append((VALUES, block, pack(stepped(codes), seen[which[lo : lo + len(codes)]]), None, None, None))
             lo += len(codes)
         n, v = np.bincount(cls, weights=seen, minlength=classes).astype(np.int64), np.bincount(cls, weights=seen > 0, minlength=classes).astype(np.int64)
         rows += [(3, -1, None, int(c), int(n[c]), int(v[c])) for c in np.flatnonzero(v)]
@@ -191,9 +191,10 @@ def scored(docs: DataFrame, by: int = 7, held: int = 2, classes: int = 2048, sta
 
     def finish(doc: list[bytes], got: list[list[bytes]]) -> pa.RecordBatch:
         ids, lens, symbols, codes = symbols_of(doc, classes)
-        seen = np.zeros(max([0, *(int(np.frombuffer(c, np.uint32).max()) + 1 for c, _ in got if len(c))]), dtype=np.int64)
+        got = [(unstepped(c), np.frombuffer(v, np.int64)) for c, v in got]
+        seen = np.zeros(sum(len(c) for c, _ in got), dtype=np.int64)
         for c, values in got:
-            seen[np.frombuffer(c, np.uint32)] = np.frombuffer(values, np.int64)
+            seen[c] = values
         words = lens - 1
         at = np.concatenate([[0], np.cumsum(words)])
 

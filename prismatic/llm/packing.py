@@ -10,6 +10,7 @@ table gives no piece.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,49 +20,66 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import splitter
-from .shared import ids_and_texts, materialize, pieces, ragged
+from .bpe import LETTERS, splitter
+from .shared import gathered, ids_and_texts, materialize, pieces, ragged
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CHUNK_BYTES = 8_000_000
-#: Distinct pre-tokens that one call encodes.
-AT_ONCE = 5_000
+CHUNK_BYTES = 24_000_000
+#: Distinct pre-tokens that one call encodes, and pre-tokens of the texts put together at once.
+AT_ONCE, PART = 2_000, 500_000
 
 
 def batch_encoder(path: str, pattern: str, end: int):
-    """texts -> flat ids with the end id after each text, and tokens of each text. Each distinct pre-token of a batch is encoded once."""
+    """texts -> by parts, flat ids with the end id after each text, and tokens of each text. Each distinct pre-token of the texts is encoded once."""
     from tokenizers import Tokenizer
 
     tokenizer, split = Tokenizer.from_file(path), splitter(pattern)
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-
-    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        flat, at = split(texts)
-        # a text that is one pre-token for splitter(), or holds an added token's string, goes to the tokenizer whole
+    size = np.array([len(tokenizer.id_to_token(i)) for i in range(tokenizer.get_vocab_size())])  # of byte-level tokens, a character is a byte
+    spaced = re.compile(f" [{LETTERS}]+").fullmatch
+
+    def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and how many each word has."""
+        # words like " abc" are cut apart again by the tokenizer's own pre-tokens when written in a row; others go to it as a list
+        row = np.array([spaced(w) is not None for w in words], dtype=bool)
+        bytes_of = np.array([len(w.encode()) for w in words], dtype=np.int64)
+        order, ids = np.concatenate([np.flatnonzero(row), np.flatnonzero(~row)]), []
+        together = int(row.sum())
+        for lo in range(0, together, AT_ONCE):
+            ids += tokenizer.encode_batch_fast(["".join(words[k] for k in order[lo : min(together, lo + AT_ONCE)].tolist())], add_special_tokens=False)[0].ids
+        for lo in range(together, len(words), AT_ONCE):
+            ids += tokenizer.encode([words[k] for k in order[lo : lo + AT_ONCE].tolist()], is_pretokenized=True, add_special_tokens=False).ids
+        flat = np.array(ids, dtype=np.uint32)
+        ends = np.searchsorted(np.cumsum(size[flat]), np.cumsum(bytes_of[order])) + 1 if len(words) else np.zeros(0, dtype=np.int64)
+        lens, start = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        lens[order], start[order] = np.diff(ends, prepend=0), np.concatenate([[0], ends[:-1]])
+        return ragged(flat, start, lens), lens
+
+    def encode(texts: pa.Array):
+        whole = {k: t for k, t in enumerate(texts.to_pylist()) if any(x in t for x in added)}
+        flat, at = gathered(texts, split)
         coded = flat.dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-        lens, ids = np.zeros(len(words), dtype=np.int64), []
-        for lo in range(0, len(words), AT_ONCE):
-            got = tokenizer.encode(words[lo : lo + AT_ONCE], is_pretokenized=True, add_special_tokens=False)
-            lens[lo : lo + AT_ONCE] = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(words[lo : lo + AT_ONCE]))
-            ids.append(np.array(got.ids, dtype=np.uint32))
-        values, start = np.concatenate([*ids, np.array([end], dtype=np.uint32)]), np.cumsum(lens) - lens
-        whole = {}
-        if any(x in t for t in texts.to_pylist() for x in added):
-            whole = {k: np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32) for k, t in enumerate(texts.to_pylist()) if any(x in t for x in added)}
+        words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        del flat
+        # an added token's string in a text is that token: such a text goes to the tokenizer whole
+        values, lens = encode_words(words)
+        start = np.cumsum(lens) - lens
         # the end id is one more word after each text
-        n, last = len(at) - 1, len(words)
-        lens, start = np.append(lens, 1), np.append(start, len(values) - 1)
-        order = np.insert(codes, at[1:], last) if n else codes
-        token_lens = lens[order]
-        sums = np.concatenate([[0], np.cumsum(token_lens)])
-        edges = at + np.arange(n + 1)
-        out, counts = ragged(values, start[order], token_lens), np.diff(sums[edges])
-        if whole:
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            parts = [np.append(whole[k], np.uint32(end)) if k in whole else out[ends[k] : ends[k + 1]] for k in range(n)]
-            out, counts = np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
-        return out, counts
+        values, lens, start, last = np.append(values, np.uint32(end)), np.append(lens, 1), np.append(start, len(values)), len(words)
+        lo = 0
+        while lo < len(at) - 1:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PART, side="right")) - 1)
+            own = at[lo : hi + 1] - at[lo]
+            order = np.insert(codes[at[lo] : at[hi]].astype(np.int64), own[1:], last)
+            token_lens = lens[order]
+            sums = np.concatenate([[0], np.cumsum(token_lens)])
+            out, counts = ragged(values, start[order], token_lens), np.diff(sums[own + np.arange(hi - lo + 1)])
+            if any(lo <= k < hi for k in whole):
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                parts = [np.append(np.array(tokenizer.encode(whole[lo + k], add_special_tokens=False).ids, dtype=np.uint32), np.uint32(end)) if lo + k in whole else out[ends[k] : ends[k + 1]] for k in range(hi - lo)]
+                out, counts = np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+            yield lo, out, counts
+            lo = hi
 
     return encode
 
@@ -73,11 +91,11 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end: int = 0) -> DataFra
         encode, task, before = batch_encoder(path, pattern, end), TaskContext.get().partitionId(), 0
         for batch in batches:
             for ids, texts in pieces(batch, CHUNK_BYTES):
-                flat, counts = encode(texts)
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                data = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer((ends * 4).astype(np.int64)), pa.py_buffer(flat.astype("<u4"))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(counts), task), pa.int32()), pa.array(before + ends[:-1]), pa.array(counts), data], ["doc_id", "task", "local_start", "n_tokens", "ids"])
-                before += int(ends[-1])
+                for lo, flat, counts in encode(texts):
+                    ends = np.concatenate([[0], np.cumsum(counts)])
+                    data = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer((ends * 4).astype(np.int64)), pa.py_buffer(flat.astype("<u4"))]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + len(counts)], pa.int64()), pa.array(np.full(len(counts), task), pa.int32()), pa.array(before + ends[:-1]), pa.array(counts), data], ["doc_id", "task", "local_start", "n_tokens", "ids"])
+                    before += int(ends[-1])
 
     return materialize(ids_and_texts(docs).mapInArrow(run, "doc_id long, task int, local_start long, n_tokens long, ids binary"), "packing-ids")
 

@@ -61,18 +61,27 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def pack(*parts) -> bytes:
-    """Arrays and byte strings as one compressed binary."""
-    raw = [p if isinstance(p, bytes) else np.ascontiguousarray(p).tobytes() for p in parts]
-    body = struct.pack(f"<I{len(raw)}Q", len(raw), *map(len, raw)) + b"".join(raw)
-    return b"z" + zstandard.ZstdCompressor(level=1).compress(body) if zstandard else b"d" + zlib.compress(body, 1)
+    """Arrays and byte strings as one compressed binary. Arrays are laid out byte by byte of their items: small numbers then cost little."""
+    raw, width = [], []
+    for p in parts:
+        if isinstance(p, bytes):
+            raw.append(p)
+            width.append(1)
+        else:
+            p = np.ascontiguousarray(p)
+            width.append(p.itemsize)
+            raw.append(p.view(np.uint8).reshape(-1, p.itemsize).T.tobytes() if len(p) else b"")
+    body = struct.pack(f"<I{len(raw)}Q{len(raw)}B", len(raw), *map(len, raw), *width) + b"".join(raw)
+    return b"z" + zstandard.ZstdCompressor(level=3).compress(body) if zstandard else b"d" + zlib.compress(body, 1)
 
 
 def unpack(blob: bytes) -> list[bytes]:
     body = zstandard.ZstdDecompressor().decompress(blob[1:]) if blob[:1] == b"z" else zlib.decompress(blob[1:])
     n = struct.unpack_from("<I", body)[0]
-    lens, at, out = struct.unpack_from(f"<{n}Q", body, 4), 4 + 8 * n, []
-    for k in lens:
-        out.append(body[at : at + k])
+    lens, width, at, out = struct.unpack_from(f"<{n}Q", body, 4), body[4 + 8 * n : 4 + 9 * n], 4 + 9 * n, []
+    for k, w in zip(lens, width):
+        part = body[at : at + k]
+        out.append(np.frombuffer(part, np.uint8).reshape(w, -1).T.tobytes() if w > 1 and k else part)
         at += k
     return out
 
@@ -83,7 +92,8 @@ def as_array(column) -> pa.Array:
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words [^\\x20\\x09-\\x0D]+ of all texts, A-Z in lower case, in one flat array; and where each text's words start, with the end."""
-    parts = as_array(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))))
+    texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())  # a copy: ascii_lower() errs on a cast slice
+    parts = as_array(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts))))
     flat, at = parts.flatten(), np.asarray(parts.offsets).astype(np.int64)
     at = at - at[0]
     keep = np.asarray(pc.greater(pc.binary_length(flat), 0))
@@ -111,6 +121,17 @@ def pieces(batch: pa.RecordBatch, chars: int):
         yield ids.slice(lo).to_pylist(), texts.slice(lo)
 
 
+def gathered(texts: pa.Array, split, chunk: int = 2_000_000) -> tuple[pa.Array, np.ndarray]:
+    """split() over texts by parts of about so many bytes, so that no more than a part's tokens are Python strings at a time."""
+    flat, at, before = [], [np.zeros(1, dtype=np.int64)], 0
+    for _, part in pieces(pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["id", "text"]), chunk):
+        tokens, own = split(part)
+        flat.append(tokens)
+        at.append(own[1:] + before)
+        before += int(own[-1])
+    return as_array(pa.chunked_array(flat, pa.large_string())), np.concatenate(at)
+
+
 def ragged(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """values[start[i] : start[i] + length[i]] for each i, end to end."""
     total = int(length.sum())

@@ -12,16 +12,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import input_bytes, pack, pieces, shuffle_partitions, unpack
+from .shared import gathered, input_bytes, pack, pieces, shuffle_partitions, unpack
 
 #: kind 0: a block's documents; 1: a pack of its tokens; 2: the values for a pack.
 SCHEMA = "kind int, block long, bucket int, data binary"
 DOCS, TOKENS, VALUES = 0, 1, 2
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 24_000_000
 #: Input bytes for one bucket.
 BUCKET_BYTES = 8_000_000
 
@@ -35,6 +36,19 @@ def record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], ["kind", "block", "bucket", "data"])
 
 
+def ranked(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Codes of all tokens and the distinct tokens: the frequent first, those that occur once in alphabetical order. Both compress well so."""
+    coded = flat.dictionary_encode()
+    codes, words = np.asarray(coded.indices), coded.dictionary
+    counts = np.bincount(codes, minlength=len(words))
+    once = np.flatnonzero(counts == 1)
+    often = np.flatnonzero(counts > 1)
+    order = np.concatenate([often[np.argsort(-counts[often], kind="stable")], once[np.asarray(pc.sort_indices(words.take(pa.array(once))))] if len(once) else once]).astype(np.int64)
+    rank = np.empty(len(order), dtype=np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return rank[codes], words.take(pa.array(order))
+
+
 def blocks(docs: DataFrame, split: Callable, hashed: Callable, n_buckets: int, more: Callable | None = None) -> DataFrame:
     """Rows of SCHEMA from (doc_id, text) rows.
 
@@ -46,22 +60,22 @@ def blocks(docs: DataFrame, split: Callable, hashed: Callable, n_buckets: int, m
         block = TaskContext.get().partitionId() << 24
         for batch in batches:
             for ids, texts in pieces(batch, BLOCK_BYTES):
-                flat, at = split(texts)
-                coded = flat.dictionary_encode()
-                codes, words = np.asarray(coded.indices).astype(np.uint32), coded.dictionary
+                flat, at = gathered(texts, split)
+                codes, words = ranked(flat)
+                del flat
                 counts = np.diff(at).astype(np.uint32)
                 hashes = hashed(words)
                 per_token, per_block = more(ids, codes, counts, words, hashes) if more else (None, b"")
                 null = np.array([i is None for i in ids], dtype=np.uint8)
                 rows = [(DOCS, block, -1, pack(np.array([i or 0 for i in ids], dtype=np.int64), null, counts, codes, per_block))]
+                del codes
                 bucket = ((hashes >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
                 for part in np.split(order, cuts) if len(order) else ():
-                    own = words.take(pa.array(part)).to_pylist()
-                    raw = [w.encode() for w in own]
+                    raw = [w.encode() for w in words.take(pa.array(part)).to_pylist()]
                     extra = per_token[part] if per_token is not None else b""
-                    rows.append((TOKENS, block, int(bucket[part[0]]), pack(part.astype(np.uint32), np.array([len(r) for r in raw], dtype=np.uint32), b"".join(raw), extra)))
+                    rows.append((TOKENS, block, int(bucket[part[0]]), pack(stepped(part), np.array([len(r) for r in raw], dtype=np.uint32), b"".join(raw), extra)))
                     if len(rows) >= 512:
                         yield record(rows)
                         rows = []
@@ -71,9 +85,18 @@ def blocks(docs: DataFrame, split: Callable, hashed: Callable, n_buckets: int, m
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def stepped(codes: np.ndarray) -> np.ndarray:
+    return np.diff(codes.astype(np.int64), prepend=0).astype(np.uint32)
+
+
+def unstepped(part: bytes) -> np.ndarray:
+    """Codes from their steps: a pack's codes ascend."""
+    return np.cumsum(np.frombuffer(part, np.uint32), dtype=np.int64)
+
+
 def tokens_of(pack_data: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     """Codes and tokens of a pack."""
-    codes, lens = np.frombuffer(pack_data[0], np.uint32), np.frombuffer(pack_data[1], np.uint32)
+    codes, lens = unstepped(pack_data[0]), np.frombuffer(pack_data[1], np.uint32)
     offsets = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
     words = pa.Array.from_buffers(pa.large_string(), len(lens), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(pack_data[2])])
     return codes, words
