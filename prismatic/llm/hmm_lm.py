@@ -133,7 +133,7 @@ def global_counts(table: DataFrame, n_buckets: int, classes: int) -> DataFrame:
 def symbols_of(doc: list[bytes], classes: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, tokens of each document with the end, their symbols, and the words' codes."""
     ids, counts, codes = header(doc)
-    cls = np.frombuffer(doc[4], np.uint16).astype(np.int64)
+    cls = np.frombuffer(doc[6], np.uint16).astype(np.int64)
     return ids, counts + 1, np.insert(cls[codes], np.cumsum(counts), classes), codes
 
 

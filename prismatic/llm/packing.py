@@ -24,7 +24,7 @@ from .bpe import LETTERS, splitter
 from .shared import gathered, ids_and_texts, materialize, pieces, ragged
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 32_000_000
 #: Distinct pre-tokens that one call encodes, and pre-tokens of the texts put together at once.
 AT_ONCE, PART = 2_000, 500_000
 

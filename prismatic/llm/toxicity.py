@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .shared import ids_and_texts, pieces, remainder, words_of
 
-MAX_TOXIC, MAX_CLEAN, MAX_WEIGHTS = 6_000, 12_000, 200_000
+MAX_TOXIC, MAX_CLEAN, MAX_WEIGHTS = 4_000, 8_000, 200_000
+#: Bits of the counters that tell rare features.
+COUNTERS = 26
 STEM = 4
 #: Passes over the sample, and the L1 term: as a share of the toxic rows learned from, between bounds.
 ROUNDS, L1_SHARE, L1_LEAST, L1_MOST = 3, 0.06, 1.0, 25.0
@@ -72,22 +74,22 @@ class Ftrl:
 
 def fitted(texts: list[str], labels: list[int], rounds: int = ROUNDS, least: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature hashes with a weight, the weights, and the intercept. Features of fewer than `least` texts are left out."""
-    parts, ends = [], [0]
-    seen = np.zeros(1 << 22, dtype=np.uint16)
-    for lo in range(0, len(texts), 256):
-        f, at = features(pa.array(texts[lo : lo + 256], pa.string()))
-        np.add.at(seen, (f >> np.uint64(42)).astype(np.int64), 1)
-        parts.append(f)
-        ends += (at[1:] + ends[-1]).tolist()
-    # a counter may stand for several features, so none that is frequent is lost
-    kept, sizes = [], []
-    for k, f in enumerate(parts):
-        keep = seen[(f >> np.uint64(42)).astype(np.int64)] >= least
-        sums = np.concatenate([[0], np.cumsum(keep)])
-        at = np.array(ends[256 * k : 256 * k + 257]) - ends[256 * k]
-        sizes += np.diff(sums[at]).tolist()
-        kept.append(f[keep])
-        parts[k] = None
+    # two passes over the texts, so that rare features, which are most, are never held
+    seen, kept, sizes = np.zeros(1 << COUNTERS, dtype=np.uint8), [], []
+    for keep in (False, True):
+        for lo in range(0, len(texts), 128):
+            f, at = features(pa.array(texts[lo : lo + 128], pa.string()))
+            cell = (f >> np.uint64(64 - COUNTERS)).astype(np.int64)
+            if keep:
+                # a counter may stand for several features, so none that is frequent is lost
+                ok = seen[cell] >= least
+                sums = np.concatenate([[0], np.cumsum(ok)])
+                sizes += np.diff(sums[at]).tolist()
+                kept.append(f[ok])
+            else:
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                    own = cell[a:b]
+                    seen[own] += seen[own] < least
     every = np.concatenate(kept) if kept else np.zeros(0, dtype=np.uint64)
     keys, codes = np.unique(every, return_inverse=True)
     edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)

@@ -22,7 +22,7 @@ from .shared import gathered, input_bytes, pack, pieces, shuffle_partitions, unp
 #: kind 0: a block's documents; 1: a pack of its tokens; 2: the values for a pack.
 SCHEMA = "kind int, block long, bucket int, data binary"
 DOCS, TOKENS, VALUES = 0, 1, 2
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 32_000_000
 #: Input bytes for one bucket.
 BUCKET_BYTES = 8_000_000
 
@@ -49,6 +49,20 @@ def ranked(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return rank[codes], words.take(pa.array(order))
 
 
+def in_parts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes as what is above their last 8 bits, and those bits of the frequent and of the other tokens apart: each part compresses by itself."""
+    high, low = (codes >> 8).astype(np.uint32), (codes & 255).astype(np.uint8)
+    return high, low[high == 0], low[high > 0]
+
+
+def from_parts(high: bytes, often: bytes, rest: bytes) -> np.ndarray:
+    codes = np.frombuffer(high, np.uint32).astype(np.int64)
+    frequent, codes = codes == 0, codes << 8
+    codes[frequent] = np.frombuffer(often, np.uint8)
+    codes[~frequent] |= np.frombuffer(rest, np.uint8)
+    return codes
+
+
 def blocks(docs: DataFrame, split: Callable, hashed: Callable, n_buckets: int, more: Callable | None = None) -> DataFrame:
     """Rows of SCHEMA from (doc_id, text) rows.
 
@@ -67,7 +81,7 @@ def blocks(docs: DataFrame, split: Callable, hashed: Callable, n_buckets: int, m
                 hashes = hashed(words)
                 per_token, per_block = more(ids, codes, counts, words, hashes) if more else (None, b"")
                 null = np.array([i is None for i in ids], dtype=np.uint8)
-                rows = [(DOCS, block, -1, pack(np.array([i or 0 for i in ids], dtype=np.int64), null, counts, codes, per_block))]
+                rows = [(DOCS, block, -1, pack(np.array([i or 0 for i in ids], dtype=np.int64), null, counts, *in_parts(codes), per_block))]
                 del codes
                 bucket = ((hashes >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -133,4 +147,4 @@ def reassembled(table: DataFrame, values: DataFrame, finish: Callable, schema: s
 def header(doc: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """doc_id column, tokens of each document, and all codes of a block's documents."""
     ids, null = np.frombuffer(doc[0], np.int64), np.frombuffer(doc[1], np.uint8).astype(bool)
-    return pa.array(ids, mask=null), np.frombuffer(doc[2], np.uint32).astype(np.int64), np.frombuffer(doc[3], np.uint32)
+    return pa.array(ids, mask=null), np.frombuffer(doc[2], np.uint32).astype(np.int64), from_parts(*doc[3:6])
