@@ -72,7 +72,7 @@ def pack(*parts) -> bytes:
             width.append(p.itemsize)
             raw.append(p.view(np.uint8).reshape(-1, p.itemsize).T.tobytes() if len(p) else b"")
     body = struct.pack(f"<I{len(raw)}Q{len(raw)}B", len(raw), *map(len, raw), *width) + b"".join(raw)
-    return b"z" + zstandard.ZstdCompressor(level=3).compress(body) if zstandard else b"d" + zlib.compress(body, 1)
+    return b"z" + zstandard.ZstdCompressor(level=9).compress(body) if zstandard else b"d" + zlib.compress(body, 1)
 
 
 def unpack(blob: bytes) -> list[bytes]:

@@ -122,7 +122,7 @@ def dealt(table: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def reassembled(table: DataFrame, values: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """finish(documents' parts, list of value packs) for each block, streaming: memory holds one block."""
+    """Blocks are dealt by the number of the task that made them, so evenly. finish(documents' parts, list of value packs) for each block, streaming: memory holds one block."""
     both = table.where(F.col("kind") == DOCS).unionByName(values.select("kind", "block", "bucket", "data"))
     n = shuffle_partitions(table)
 
@@ -141,7 +141,7 @@ def reassembled(table: DataFrame, values: DataFrame, finish: Callable, schema: s
         if doc is not None:
             yield finish(doc, got)
 
-    return both.select("kind", "block", "data").repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
+    return both.select("kind", "block", "data").repartitionById(n, (F.shiftright("block", 24) % n).cast("int")).sortWithinPartitions("block", "kind").mapInArrow(run, schema)
 
 
 def header(doc: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
