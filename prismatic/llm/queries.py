@@ -86,7 +86,7 @@ def oracle_sql() -> dict[str, str]:
                        + length(regexp_replace(text, '\\|###|</turn>', '\\\0', 'g')) + 9)::BIGINT AS formatted_chars
             FROM t GROUP BY conv_id""",
         "op10_exact_top_k": r"""
-            WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::DOUBLE) AS e FROM embeddings),
+            WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings),
             s AS (
                 SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
                 FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),

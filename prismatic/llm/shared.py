@@ -51,9 +51,10 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size, from the files' sizes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes of (doc_id, text) rows: Catalyst's estimate from the files' sizes, or a sum over the texts where it has none."""
+    guess = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return guess if guess < 1 << 50 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def shuffle_partitions(df: DataFrame) -> int:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .shared import ids_and_texts, pieces, remainder, words_of
 
-MAX_TOXIC, MAX_CLEAN, MAX_WEIGHTS = 4_000, 8_000, 200_000
+MAX_TOXIC, MAX_CLEAN, MAX_WEIGHTS = 3_000, 6_000, 200_000
 #: Bits of the counters that tell rare features.
 COUNTERS = 26
 STEM = 4
@@ -122,6 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0) -> tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, y, t) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in range(3))))
         keys, w, bias = fitted([t for _, _, t in rows], [y for _, y, _ in rows])
+        del rows
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
         yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([bias])], ["keys", "weights", "bias"])
 
     docs = ids_and_texts(docs)
