@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,6 @@ def apply_tsr(spectra: DataFrame, fitted: DataFrame) -> DataFrame:
 
 def gram(left: DataFrame, right: DataFrame, size: int) -> np.ndarray:
     """left' * right over samples of both, as sums over all rows: size squared numbers whatever the rows."""
-    import pandas as pd
-
     both = left.select("sample_id", F.col("values").alias("a")).join(right.select("sample_id", F.col("values").alias("b")), "sample_id")
 
     def part(batches):
@@ -47,8 +46,6 @@ def fit_ds(master: DataFrame, slave: DataFrame, size: int, ridge: float = 0.0) -
 
 
 def apply_matrix(spectra: DataFrame, matrix: np.ndarray) -> DataFrame:
-    import pandas as pd
-
     m = spectra.sparkSession.sparkContext.broadcast(matrix)
 
     @F.pandas_udf("array<double>")
@@ -56,3 +53,27 @@ def apply_matrix(spectra: DataFrame, matrix: np.ndarray) -> DataFrame:
         return pd.Series(list(np.stack(v) @ m.value)) if len(v) else v
 
     return spectra.withColumn("values", times("values"))
+
+
+def fit_pds(master: DataFrame, slave: DataFrame, size: int, window: int = 11) -> np.ndarray:
+    """Piecewise direct standardization as a banded matrix: each master channel from the slave's channels around it, without intercept."""
+    ss, sm, half = gram(slave, slave, size), gram(slave, master, size), window // 2
+    out = np.zeros((size, size))
+    for j in range(size):
+        near = slice(max(0, j - half), min(size, j + half + 1))
+        out[near, j] = np.linalg.pinv(ss[near, near]) @ sm[near, j]
+    return out
+
+
+def fit_ctai(master: DataFrame, slave: DataFrame, size: int, share: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix and offset of an affine map in the slave's principal directions that hold `share` of its variance."""
+    one = lambda d: d.select("sample_id", F.concat(F.array(F.lit(1.0)), "values").alias("values"))
+    ss, sm = gram(one(slave), one(slave), size + 1), gram(one(slave), one(master), size + 1)
+    n, ms, mm = ss[0, 0], ss[0, 1:] / ss[0, 0], sm[0, 1:] / ss[0, 0]
+    c, x = ss[1:, 1:] - n * np.outer(ms, ms), sm[1:, 1:] - n * np.outer(ms, mm)
+    values, v = np.linalg.eigh(c)
+    values, v = values[::-1], v[:, ::-1]
+    k = int(np.searchsorted(np.cumsum(values) / values.sum(), share)) + 1
+    v = v[:, :k]
+    m = v @ np.linalg.pinv(v.T @ c @ v) @ (v.T @ x)
+    return m, mm - ms @ m

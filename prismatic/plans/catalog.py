@@ -311,3 +311,68 @@ def region_weighted_ensemble(spark, sf_dir):
 def quality_consensus(spark, sf_dir):
     r2 = spark.createDataFrame([("a", 0.8), ("b", 0.95)], "model string, r2 double")
     return rounded(ensemble.quality_consensus(two_models(spark, sf_dir), r2), "pred", to=6)
+
+
+@query()
+def pls_search(spark, sf_dir):
+    from prismatic.operators import search
+
+    found = search.searched(spectra.from_embeddings(spark, sf_dir), "label", models=("PLS", "Ridge"), preprocessing=("raw", "snv"), max_components=4)
+    return scoring.composite(found.withColumn("complexity", F.lit(0.5))).select("model", "params", "preprocess", "rmse", "r2", "pooled_r2", "score", "rank")
+
+
+@query()
+def pca_outliers(spark, sf_dir):
+    from prismatic.operators import multivariate
+
+    return multivariate.pca_outliers(spectra.from_embeddings(spark, sf_dir))
+
+
+@query()
+def leverage(spark, sf_dir):
+    from prismatic.operators import multivariate
+
+    return multivariate.leverage(spectra.from_embeddings(spark, sf_dir))
+
+
+@query()
+def als_baseline(spark, sf_dir):
+    from prismatic.operators import multivariate
+
+    return spectra.long(multivariate.als_corrected(spectra.from_embeddings(spark, sf_dir)))
+
+
+@query()
+def epo(spark, sf_dir):
+    from prismatic.operators import multivariate
+
+    s = spectra.from_embeddings(spark, sf_dir)
+    return spectra.long(multivariate.orthogonalized(s, s.where("label = 0")))
+
+
+@query()
+def direct_standardization(spark, sf_dir):
+    s = spectra.from_embeddings(spark, sf_dir).drop("label")
+    slave = s.where("sample_id % 2 = 1").withColumn("sample_id", F.col("sample_id") - 1)
+    return spectra.long(transfer.apply_matrix(slave, transfer.fit_ds(s.where("sample_id % 2 = 0"), slave, spectra.channels(s), 1e-3)))
+
+
+@query()
+def duplex_split(spark, sf_dir):
+    from prismatic.operators import multivariate
+
+    return multivariate.duplex(spectra.from_embeddings(spark, sf_dir), 60, 20)
+
+
+@query()
+def spxy_selection(spark, sf_dir):
+    from prismatic.operators import multivariate
+
+    return multivariate.selected_samples(spectra.from_embeddings(spark, sf_dir), 40, "label")
+
+
+@query()
+def smote_balance(spark, sf_dir):
+    from prismatic.operators import multivariate
+
+    return spectra.long(multivariate.smote(spectra.from_embeddings(spark, sf_dir), "label"), "label")
