@@ -54,3 +54,38 @@ def undersampled(df: DataFrame, y: str, order: list, bins: int = 10) -> DataFram
     rows = binned(df, y, bins, lo, hi)
     most = rows.groupBy("bin").count().agg(F.expr("percentile(count, 0.5)").cast("int").alias("m")).first()["m"]
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy("bin").orderBy(*order))).where(F.col("__n") <= most).drop("__n")
+
+
+def rare_boost(df: DataFrame, y: str, boost: float = 2.0) -> DataFrame:
+    """df with `weight`: 1 + (boost - 1) * d / max d, d the distance from the median in deviations; scaled to mean 1."""
+    s = df.agg(F.expr(f"percentile({y}, 0.5)").alias("m"), F.stddev_pop(y).alias("sd")).first()
+    d = F.abs(F.col(y) - s["m"]) / (s["sd"] or 1.0)
+    top = df.agg(F.max(d).alias("t")).first()["t"] or 1.0
+    raw = 1 + (boost - 1) * d / top
+    mean = df.agg(F.avg(raw).alias("a")).first()["a"]
+    return df.withColumn("weight", raw / mean)
+
+
+def regression_imbalance(df: DataFrame, y: str, bins: int = 10, sparse: float = 0.2) -> dict:
+    """Coverage (least over mean rows of a bin), its severity, and the bins that hold under `sparse` of an even share."""
+    n = [(r["bin"], r["n"]) for r in bin_counts(df, y, bins).orderBy("bin").collect()]
+    total = sum(x for _, x in n)
+    coverage = min(x for _, x in n) * bins / total if total else 0.0
+    return {"coverage": coverage, "severity": "none" if coverage >= 0.5 else "moderate" if coverage >= 0.2 else "severe", "sparse_bins": [b for b, x in n if x < sparse * total / bins]}
+
+
+def tomek_links(df: DataFrame, label: str) -> DataFrame:
+    """sample_id pairs (a, b) of different classes that are each other's nearest neighbour; sets of calibration size, in blocks against all."""
+    import numpy as np
+
+    rows = df.select("sample_id", "values", F.col(label).alias("y")).orderBy("sample_id").limit(20_001).toPandas()
+    if len(rows) > 20_000:
+        raise ValueError("takes at most 20000 samples")
+    x = np.stack(rows["values"])
+    near = np.empty(len(x), dtype=int)
+    for lo in range(0, len(x), 512):
+        d = ((x[lo : lo + 512, None] - x[None]) ** 2).sum(2)
+        d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
+        near[lo : lo + 512] = d.argmin(1)
+    out = [(int(rows["sample_id"][i]), int(rows["sample_id"][j])) for i, j in enumerate(near) if i < j and near[j] == i and rows["y"][i] != rows["y"][j]]
+    return df.sparkSession.createDataFrame(out, "a long, b long")

@@ -36,3 +36,39 @@ def region_weighted(preds: DataFrame, weights: DataFrame, edges: list[float]) ->
 def quality_consensus(preds: DataFrame, quality: DataFrame) -> DataFrame:
     """id and pred: the mean of predictions weighted by each model's R2 (columns model, r2)."""
     return preds.join(F.broadcast(quality), "model").groupBy("id").agg((F.sum(F.col("pred") * F.col("r2")) / F.sum("r2")).alias("pred"))
+
+
+def best_experts(errors: DataFrame) -> DataFrame:
+    """region and the model of least rmse there; ties to the first by name."""
+    return errors.groupBy("region").agg(F.min_by("model", F.struct("rmse", "model")).alias("model"))
+
+
+def mixture(preds: DataFrame, errors: DataFrame, edges: list[float]) -> DataFrame:
+    """id and pred of the best expert for the region of the mean prediction."""
+    mean = preds.groupBy("id").agg(F.avg("pred").alias("m")).select("id", region(F.col("m"), edges).alias("region"))
+    return preds.join(mean.join(F.broadcast(best_experts(errors)), "region"), ["id", "model"]).select("id", "pred")
+
+
+def stacked(preds: DataFrame, alpha: float = 1.0) -> tuple[list[str], list[float]]:
+    """Models and their ridge weights, the intercept last, fitted on predictions (out of fold) from sums over all rows."""
+    import numpy as np
+
+    names = sorted(r["model"] for r in preds.select("model").distinct().collect())
+    wide = preds.groupBy("id").pivot("model", names).agg(F.first("pred")).join(preds.groupBy("id").agg(F.first("y").alias("y")), "id")
+    cols = [*names, "y"]
+    sums = wide.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in cols], *[F.sum(F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for a in cols for b in cols]).first()
+    n = sums["n"]
+    mean = np.array([sums[f"s_{c}"] / n for c in cols])
+    c = np.array([[sums[f"c_{a}_{b}"] for b in cols] for a in cols]) - n * np.outer(mean, mean)
+    w = np.linalg.solve(c[:-1, :-1] + alpha * np.eye(len(names)), c[:-1, -1])
+    return names, [*w.tolist(), float(mean[-1] - mean[:-1] @ w)]
+
+
+def applicability(train_scores, new_scores) -> list[tuple[float, str]]:
+    """Distance of each new score vector to its nearest training one, and good, caution or extrapolation by the training set's own 75th and 95th percentiles."""
+    import numpy as np
+
+    d = np.sqrt(((train_scores[:, None] - train_scores[None]) ** 2).sum(2))
+    p75, p95 = np.percentile(d[np.triu_indices(len(d), 1)], [75, 95])
+    out = np.sqrt(((new_scores[:, None] - train_scores[None]) ** 2).sum(2)).min(1)
+    return [(float(x), "good" if x <= p75 else "caution" if x <= p95 else "extrapolation") for x in out]

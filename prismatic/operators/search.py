@@ -19,6 +19,7 @@ GRIDS = {
     "Ridge": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0]},
     "Lasso": {"alpha": [0.001, 0.01, 0.1, 1.0]},
     "ElasticNet": {"alpha": [0.01, 0.1, 1.0], "l1_ratio": [0.3, 0.5, 0.7]},
+    "NeuralBoosted": {"hidden": [3, 5], "activation": ["tanh", "identity"]},
 }
 #: Samples that a search takes: each task holds them all. Calibration sets have hundreds.
 MAX_SAMPLES = 20_000
