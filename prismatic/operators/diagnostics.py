@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import statistics
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,8 +40,37 @@ def mad_outliers(df: DataFrame, x: str, times: float = 3.0) -> DataFrame:
 
 def spacing(axis: DataFrame, wl: str) -> DataFrame:
     """Median, least and greatest step of an axis of one row for each channel."""
-    from pyspark.sql import Window
-
     step = F.col(wl) - F.lag(wl).over(Window.orderBy(wl))
     s = axis.select(step.alias("s")).where("s is not null")
     return s.agg(F.expr("percentile(s, 0.5)").alias("median_step"), F.min("s").alias("min_step"), F.max("s").alias("max_step"), (F.stddev_pop("s") / F.avg("s") < 1e-6).alias("interpolated"))
+
+
+def quantile_pairs(df: DataFrame, x: str, points: int = 512) -> list[tuple[float, float]]:
+    """(normal quantile, observed quantile) for a Q-Q plot: at most `points` of them, whatever the rows."""
+    n = min(points, df.where(F.col(x).isNotNull()).count())
+    if not n:
+        return []
+    p = np.linspace(1 / (n + 1), n / (n + 1), n)
+    at = F.array(*[F.lit(float(q)) for q in np.linspace(0, 1, n)])
+    seen = df.agg(F.percentile(x, at).alias("q")).first()["q"]
+    return [(statistics.NormalDist().inv_cdf(float(a)), b) for a, b in zip(p, seen)]
+
+
+def jackknife(spark, make, x: np.ndarray, y: np.ndarray, new: np.ndarray, confidence: float = 0.95) -> list[tuple[float, float, float]]:
+    """(prediction, lower, upper) for each row of new: a model refitted without each sample in turn, a task for some of them."""
+    import pandas as pd
+
+    from prismatic.functions.linalg import t_quantile
+
+    data, n = spark.sparkContext.broadcast((x, y, new)), len(y)
+
+    def run(batches):
+        x, y, new = data.value
+        for b in batches:
+            rows = [make().fit(np.delete(x, i, 0), np.delete(y, i)).predict(new) for i in b["id"]]
+            yield pd.DataFrame({"id": b["id"], "pred": rows})
+
+    got = np.array([list(r["pred"]) for r in spark.range(n).repartition(min(n, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "id long, pred array<double>").collect()])
+    half = t_quantile((1 + confidence) / 2, n - 1) * np.sqrt((n - 1) / n * ((got - got.mean(0)) ** 2).sum(0))
+    middle = make().fit(x, y).predict(new)
+    return [(float(m), float(m - h), float(m + h)) for m, h in zip(middle, half)]
