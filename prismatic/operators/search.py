@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismatic.functions.arrays import savgol_matrix
+from prismatic.functions.learners import auc, classifier
 from prismatic.functions.linalg import model
 
 # The standard grids.
@@ -20,6 +21,12 @@ GRIDS = {
     "Lasso": {"alpha": [0.001, 0.01, 0.1, 1.0]},
     "ElasticNet": {"alpha": [0.01, 0.1, 1.0], "l1_ratio": [0.3, 0.5, 0.7]},
     "NeuralBoosted": {"hidden": [3, 5], "activation": ["tanh", "identity"]},
+    "RandomForest": {"n": [100], "depth": [30]},
+    "BoostedTrees": {"n": [100, 200], "rate": [0.05, 0.1], "depth": [3, 6]},
+    "SVR": {"kernel": ["rbf", "linear"], "c": [1.0, 10.0]},
+    "MLP": {"hidden": [[64], [128, 64]]},
+    "PLS-DA": {"n_components": [2, 3, 4, 5, 6, 7, 8]},
+    "SVM": {"kernel": ["rbf", "linear"], "c": [1.0, 10.0]},
 }
 #: Samples that a search takes: each task holds them all. Calibration sets have hundreds.
 MAX_SAMPLES = 20_000
@@ -79,6 +86,34 @@ def searched(samples: DataFrame, y: str, models=("PLS", "Ridge"), preprocessing=
     return each.groupBy("config", "model", "params", "preprocess", "window").agg(F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"), (1 - F.sum("sse") / total).alias("pooled_r2")).withColumn("n_vars", F.lit(n)).withColumn("full_vars", F.lit(n))
 
 
+def searched_classes(samples: DataFrame, y: str, models=("PLS-DA", "RandomForest"), preprocessing=("raw", "snv"), windows=(7,), folds: int = 5, max_components: int = 8, seed: int = 42) -> DataFrame:
+    """model, params, preprocess, window, accuracy and auc (one against the rest, mean over classes, then over folds). Folds go by places within a class."""
+    spark = samples.sparkSession
+    rows = samples.select("sample_id", "values", F.col(y).cast("string").alias("y")).where("y is not null").orderBy("y", F.xxhash64(F.lit(seed), "sample_id"), "sample_id").limit(MAX_SAMPLES + 1).toPandas()
+    if len(rows) > MAX_SAMPLES:
+        raise ValueError(f"a search takes at most {MAX_SAMPLES} samples: choose some first")
+    data = spark.sparkContext.broadcast((np.stack(rows["values"]), rows["y"].to_numpy(dtype=str)))
+    configs = [(k, f, c["model"], c["params"], c["preprocess"], c["window"]) for k, c in enumerate(configurations(list(models), list(preprocessing), list(windows), max_components)) for f in range(folds)]
+    grid = spark.createDataFrame(configs, "config int, fold int, model string, params string, preprocess string, window int")
+
+    def fit(batches):
+        x, y = data.value
+        fold = np.arange(len(y)) % folds
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                z, test = prepared(x, r.preprocess, r.window), fold == r.fold
+                fitted = classifier(r.model, json.loads(r.params)).fit(z[~test], y[~test])
+                p = fitted.proba(z[test])
+                areas = [a for k, c in enumerate(fitted.classes) if not np.isnan(a := auc((y[test] == c).astype(int), p[:, k]))]
+                out.append((float((fitted.classes[p.argmax(1)] == y[test]).mean()), float(np.mean(areas)) if areas else float("nan")))
+            yield batch.assign(**dict(zip(("accuracy", "auc"), zip(*out))) if out else {"accuracy": [], "auc": []})
+
+    each = grid.repartition(min(len(configs), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(fit, grid.schema.simpleString()[7:-1].replace(":", " ") + ", accuracy double, auc double")
+    n = data.value[0].shape[1]
+    return each.groupBy("config", "model", "params", "preprocess", "window").agg(F.avg("accuracy").alias("accuracy"), F.avg(F.when(~F.isnan("auc"), F.col("auc"))).alias("auc")).withColumn("n_vars", F.lit(n)).withColumn("full_vars", F.lit(n))
+
+
 def predicted(spectra: DataFrame, fitted, preprocess: str = "raw", window: int = 7) -> DataFrame:
     """spectra with `pred` of a fitted model, in Arrow batches."""
     m = spectra.sparkSession.sparkContext.broadcast(fitted)
