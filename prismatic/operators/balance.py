@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def severity(ratio: Column) -> Column:
     return F.when(ratio < 3, "none").when(ratio < 5, "moderate").when(ratio < 10, "severe").otherwise("extreme")
 
@@ -75,17 +74,13 @@ def regression_imbalance(df: DataFrame, y: str, bins: int = 10, sparse: float =
 
 
 def tomek_links(df: DataFrame, label: str) -> DataFrame:
-    """sample_id pairs (a, b) of different classes that are each other's nearest neighbour; sets of calibration size, in blocks against all."""
+    """sample_id pairs (a, b) of different classes that are each other's nearest neighbour; sets of calibration size."""
     import numpy as np
 
-    rows = df.select("sample_id", "values", F.col(label).alias("y")).orderBy("sample_id").limit(20_001).toPandas()
-    if len(rows) > 20_000:
-        raise ValueError("takes at most 20000 samples")
-    x = np.stack(rows["values"])
-    near = np.empty(len(x), dtype=int)
-    for lo in range(0, len(x), 512):
-        d = ((x[lo : lo + 512, None] - x[None]) ** 2).sum(2)
-        d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
-        near[lo : lo + 512] = d.argmin(1)
-    out = [(int(rows["sample_id"][i]), int(rows["sample_id"][j])) for i, j in enumerate(near) if i < j and near[j] == i and rows["y"][i] != rows["y"][j]]
-    return df.sparkSession.createDataFrame(out, "a long, b long")
+    from prismatic.operators.resampling import MAX_SAMPLES, tomek
+
+    rows = df.select("sample_id", "values", F.col(label).alias("y")).orderBy("sample_id").limit(MAX_SAMPLES + 1).toPandas()
+    if len(rows) > MAX_SAMPLES:
+        raise ValueError(f"takes at most {MAX_SAMPLES} samples")
+    pairs = tomek(np.stack(rows["values"]), rows["y"].to_numpy()) if len(rows) else []
+    return df.sparkSession.createDataFrame([(int(rows["sample_id"][a]), int(rows["sample_id"][b])) for a, b in pairs], "a long, b long")

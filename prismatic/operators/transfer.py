@@ -23,26 +23,46 @@ def apply_tsr(spectra: DataFrame, fitted: DataFrame) -> DataFrame:
     return spectra.withColumn("values", F.zip_with("values", lines, lambda x, k: x * k["a"] + k["b"]))
 
 
-def gram(left: DataFrame, right: DataFrame, size: int) -> np.ndarray:
-    """left' * right over samples of both, as sums over all rows: size squared numbers whatever the rows."""
-    both = left.select("sample_id", F.col("values").alias("a")).join(right.select("sample_id", F.col("values").alias("b")), "sample_id")
+def summed(pairs: DataFrame, size: int, wide: int) -> np.ndarray:
+    """The sum of a' b over rows (a of size, b of wide): each task sums its rows, and cells are summed by place. size * wide numbers whatever the rows."""
 
     def part(batches):
-        g = np.zeros((size, size))
+        g, found = np.zeros((size, wide)), False
         for b in batches:
             if len(b):
+                found = True
                 g += np.stack(b["a"]).T @ np.stack(b["b"])
-        yield pd.DataFrame({"g": [g.ravel()]})
+        if found:
+            yield pd.DataFrame({"g": [g.ravel()]})
 
-    sums = both.select("a", "b").mapInPandas(part, "g array<double>").select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(size * size)
+    sums = pairs.select("a", "b").mapInPandas(part, "g array<double>").select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(size * wide)
     out[sums["i"]] = sums["v"]
-    return out.reshape(size, size)
+    return out.reshape(size, wide)
+
+
+def own_gram(spectra: DataFrame, size: int) -> np.ndarray:
+    """values' values over all rows, without a join."""
+    return summed(spectra.select(F.col("values").alias("a"), F.col("values").alias("b")), size, size)
+
+
+def shared_samples(master: DataFrame, slave: DataFrame) -> DataFrame:
+    """sample_id, a (the slave's values) and b (the master's) of the samples that both measured."""
+    return slave.select("sample_id", F.col("values").alias("a")).join(master.select("sample_id", F.col("values").alias("b")), "sample_id")
+
+
+def moments(master: DataFrame, slave: DataFrame, size: int, wide: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """S'S and S'M over the shared samples, in one pass over one join. The slave's values have `size` numbers, the master's `wide`."""
+    wide = wide or size
+    both = shared_samples(master, slave)
+    g = summed(both.select("a", F.concat("a", "b").alias("b")), size, size + wide)
+    return g[:, :size], g[:, size:]
 
 
 def fit_ds(master: DataFrame, slave: DataFrame, size: int, ridge: float = 0.0) -> np.ndarray:
     """Direct standardization: (S'S + ridge I)^-1 S'M."""
-    return np.linalg.pinv(gram(slave, slave, size) + ridge * np.eye(size)) @ gram(slave, master, size)
+    ss, sm = moments(master, slave, size)
+    return np.linalg.pinv(ss + ridge * np.eye(size)) @ sm
 
 
 def apply_matrix(spectra: DataFrame, matrix: np.ndarray) -> DataFrame:
@@ -57,7 +77,7 @@ def apply_matrix(spectra: DataFrame, matrix: np.ndarray) -> DataFrame:
 
 def fit_pds(master: DataFrame, slave: DataFrame, size: int, window: int = 11) -> np.ndarray:
     """Piecewise direct standardization as a banded matrix: each master channel from the slave's channels around it, without intercept."""
-    ss, sm, half = gram(slave, slave, size), gram(slave, master, size), window // 2
+    (ss, sm), half = moments(master, slave, size), window // 2
     out = np.zeros((size, size))
     for j in range(size):
         near = slice(max(0, j - half), min(size, j + half + 1))
@@ -68,7 +88,7 @@ def fit_pds(master: DataFrame, slave: DataFrame, size: int, window: int = 11) ->
 def fit_ctai(master: DataFrame, slave: DataFrame, size: int, share: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
     """Matrix and offset of an affine map in the slave's principal directions that hold `share` of its variance."""
     one = lambda d: d.select("sample_id", F.concat(F.array(F.lit(1.0)), "values").alias("values"))
-    ss, sm = gram(one(slave), one(slave), size + 1), gram(one(slave), one(master), size + 1)
+    ss, sm = moments(one(master), one(slave), size + 1)
     n, ms, mm = ss[0, 0], ss[0, 1:] / ss[0, 0], sm[0, 1:] / ss[0, 0]
     c, x = ss[1:, 1:] - n * np.outer(ms, ms), sm[1:, 1:] - n * np.outer(ms, mm)
     values, v = np.linalg.eigh(c)
@@ -77,3 +97,101 @@ def fit_ctai(master: DataFrame, slave: DataFrame, size: int, share: float = 0.99
     v = v[:, :k]
     m = v @ np.linalg.pinv(v.T @ c @ v) @ (v.T @ x)
     return m, mm - ms @ m
+
+
+def fit_nspfce(master: DataFrame, slave: DataFrame, size: int, chosen: list[int] | None = None, rounds: int = 100, tol: float = 1e-6, ridge: float = 1e-6, normalize: bool = True) -> dict:
+    """matrix and offset of the damped iteration from scaled channels towards the ridge solution, on the chosen channels (all if None); rounds used.
+
+    All it needs are moments, so rows are read once: the mean squared error that stops it is taken over all shared samples.
+    """
+    one = lambda d: d.select("sample_id", F.concat(F.array(F.lit(1.0)), "values").alias("values"))
+    squares = master.select("sample_id", F.concat(F.array(F.lit(1.0)), "values", F.transform("values", lambda v: v * v)).alias("values"))
+    ss, sm = moments(squares, one(slave), size + 1, 2 * size + 1)
+    n, at = ss[0, 0], np.arange(size) if chosen is None else np.array(chosen, dtype=int)
+    ms, m_mean, m2 = ss[0, 1:][at] / n, sm[0, 1:][at] / n, sm[0, size + 1 :][at]
+    ss, sm = ss[1:, 1:][np.ix_(at, at)], sm[1:, 1:][np.ix_(at, at)]
+    sd = lambda second, mean: np.sqrt(np.maximum(second / n - mean**2, 0)) + 1e-10
+    scale = sd(m2, m_mean) / sd(np.diag(ss), ms)
+    t, offset, used = np.diag(scale), m_mean - ms * scale, rounds
+    goal, before = np.linalg.solve(ss + ridge * np.eye(len(at)), sm), None
+    for k in range(rounds):
+        # mean over cells of (m - s t - o)^2, from moments
+        error = (m2 - 2 * (t * sm).sum(0) + ((ss @ t) * t).sum(0)).sum() + n * (offset @ offset - 2 * offset @ (m_mean - ms @ t))
+        error /= n * len(at)
+        if before is not None and abs(error - before) < tol:
+            used = k
+            break
+        before, t = error, 0.5 * goal + 0.5 * t
+        offset = m_mean - ms @ t
+        if normalize and k % 10 == 0 and (mean := np.diag(t).mean()) > 0:
+            t, offset = t / mean, offset * mean
+    return {"method": "ns-pfce", "matrix": t, "offset": offset, "channels": at, "rounds": used}
+
+
+def fit_jypls(master: DataFrame, slave: DataFrame, reference: DataFrame, y: str, components: int | None = None, folds: int = 5, most: int = 20) -> dict:
+    """Joint-Y PLS: both instruments' spectra of the transfer samples against the same y; the slave's scores are mapped to the master's and back to channels."""
+    from prismatic.functions.linalg import Pls
+    from prismatic.operators.multivariate import MAX_SAMPLES
+
+    rows = shared_samples(master, slave).join(reference.select("sample_id", F.col(y).cast("double").alias("y")), "sample_id").orderBy("sample_id").limit(MAX_SAMPLES + 1).toPandas()
+    if not 2 <= len(rows) <= MAX_SAMPLES:
+        raise ValueError(f"takes 2 to {MAX_SAMPLES} transfer samples")
+    m, s, t = np.stack(rows["b"]), np.stack(rows["a"]), rows["y"].to_numpy()
+    x, target = np.concatenate([m, s]), np.concatenate([t, t])
+    limit = min(most, len(t) - 1, x.shape[1])
+    if components is None:
+        parts = np.array_split(np.arange(len(x)), min(folds, len(t)))
+        rmse = []
+        for k in range(1, limit + 1):
+            each = []
+            for test in parts:
+                train = np.setdiff1d(np.arange(len(x)), test)
+                each.append(np.sqrt(((target[test] - Pls(k).fit(x[train], target[train]).predict(x[test])) ** 2).mean()))
+            rmse.append(np.mean(each))
+        components = 1 + int(np.argmin(rmse))
+    fitted = Pls(min(components, len(t) - 1, x.shape[1])).fit(x, target)
+    scores = (x - fitted.x_mean) @ fitted.w @ np.linalg.pinv(fitted.p.T @ fitted.w)
+    tm, ts = scores[: len(t)], scores[len(t) :]
+    turn = np.linalg.solve(ts.T @ ts + 1e-6 * np.eye(ts.shape[1]), ts.T @ tm)
+    return {"method": "jypls-inv", "matrix": fitted.w @ turn @ fitted.p.T, "n_components": ts.shape[1]}
+
+
+def apply_transfer(spectra: DataFrame, fitted: dict) -> DataFrame:
+    """By method: ds, pds, ctai, jypls-inv and ns-pfce are a matrix, with an offset where there is one; channels that weren't chosen stay as they are."""
+    model = spectra.sparkSession.sparkContext.broadcast((np.asarray(fitted["matrix"]), np.asarray(fitted.get("offset", 0.0)), fitted.get("channels")))
+
+    @F.pandas_udf("array<double>")
+    def moved(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return v
+        x, (matrix, offset, at) = np.stack(v), model.value
+        at = slice(None) if at is None else at
+        x[:, at] = x[:, at] @ matrix + offset
+        return pd.Series(list(x))
+
+    return spectra.withColumn("values", moved("values"))
+
+
+def save_transfer(spark, fitted: dict, path: str) -> None:
+    """Arrays as Parquet rows (name, place, values), the rest as JSON."""
+    import json
+
+    arrays = {k: np.atleast_2d(np.asarray(v, dtype=float)) for k, v in fitted.items() if isinstance(v, (np.ndarray, list))}
+    meta = {k: v for k, v in fitted.items() if k not in arrays} | {"vectors": [k for k in arrays if np.ndim(fitted[k]) == 1]}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    rows = [(k, i, row.tolist()) for k, a in arrays.items() for i, row in enumerate(a)]
+    spark.createDataFrame(rows, "name string, place int, row array<double>").write.mode("overwrite").parquet(f"{path}/arrays")
+
+
+def load_transfer(spark, path: str) -> dict:
+    import json
+
+    out = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
+    vectors = out.pop("vectors")
+    rows = spark.read.parquet(f"{path}/arrays").orderBy("name", "place").collect()
+    for name in sorted({r["name"] for r in rows}):
+        a = np.array([r["row"] for r in rows if r["name"] == name])
+        out[name] = a[0] if name in vectors else a
+    if "channels" in out:
+        out["channels"] = out["channels"].astype(int)
+    return out
