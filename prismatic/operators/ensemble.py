@@ -72,3 +72,25 @@ def applicability(train_scores, new_scores) -> list[tuple[float, str]]:
     p75, p95 = np.percentile(d[np.triu_indices(len(d), 1)], [75, 95])
     out = np.sqrt(((new_scores[:, None] - train_scores[None]) ** 2).sum(2)).min(1)
     return [(float(x), "good" if x <= p75 else "caution" if x <= p95 else "extrapolation") for x in out]
+
+
+def simple_average(preds: DataFrame) -> DataFrame:
+    return preds.groupBy("id").agg(F.avg("pred").alias("pred"))
+
+
+def soft_mixture(preds: DataFrame, errors: DataFrame, edges: list[float]) -> DataFrame:
+    """id and pred: every expert, weighted by 1 / (rmse + 1e-6) in the region of the mean prediction."""
+    return region_weighted(preds, regional_weights(errors), edges)
+
+
+def regional_consensus(preds: DataFrame, errors: DataFrame, edges: list[float]) -> DataFrame:
+    """id and pred: models weighted by 1 / (rmse^2 + 1e-10) in the region of the median prediction; without any weight there, the median."""
+    middle = preds.groupBy("id").agg(F.expr("percentile(pred, 0.5)").alias("m")).withColumn("region", region(F.col("m"), edges))
+    w = errors.select("model", "region", (1 / (F.col("rmse") * F.col("rmse") + 1e-10)).alias("w"))
+    both = preds.join(middle, "id").join(F.broadcast(w), ["model", "region"], "left")
+    return both.groupBy("id").agg(F.coalesce(F.try_divide(F.sum(F.col("pred") * F.col("w")), F.sum("w")), F.first("m")).alias("pred"))
+
+
+def specialization(errors: DataFrame) -> DataFrame:
+    """model and the deviation of its regional rmse over their mean: 0 for a model equally good everywhere."""
+    return errors.groupBy("model").agg(F.try_divide(F.stddev_pop("rmse"), F.avg("rmse")).alias("specialization"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,37 @@ def class_metrics(df: DataFrame, y: str, predicted: str) -> DataFrame:
     per = true.join(said, "c", "full").na.fill(0, ["t", "h", "p"])
     f1 = F.coalesce(F.try_divide(2.0 * F.col("h"), F.col("t") + F.col("p")), F.lit(0.0))
     return per.agg((F.sum("h") / F.sum("t")).alias("accuracy"), F.avg(F.when(F.col("t") > 0, F.col("h") / F.col("t"))).alias("balanced_accuracy"), F.avg(f1).alias("f1_macro"), (F.sum(f1 * F.col("t")) / F.sum("t")).alias("f1_weighted"))
+
+
+def regression_metrics(df: DataFrame, y: str, predicted: str, *by: str) -> DataFrame:
+    """n, rmse, mae, bias, r2 and rpd (deviation of y over rmse), for each group or for all rows."""
+    e, t = F.col(predicted) - F.col(y), F.col(y)
+    rmse = F.sqrt(F.avg(e * e))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rmse.alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.try_subtract(F.lit(1.0), F.try_divide(F.avg(e * e), F.var_pop(t))).alias("r2"), F.try_divide(F.stddev_samp(t), rmse).alias("rpd"))
+
+
+# Points of models, 50 for others; of preprocessing without a derivative, then by order of the derivative with the points of an unknown order.
+MODEL_POINTS = {"PLS": 20, "Ridge": 25, "Lasso": 30, "RandomForest": 60, "MLP": 80, "NeuralBoosted": 85}
+PLAIN_POINTS = {"raw": 0, "snv": 20}
+DERIVATIVE_POINTS = {"deriv": {1: 50, 2: 70, None: 40}, "deriv_snv": {1: 60, 2: 80, None: 50}}
+
+
+def complexity_points(model: Column, n_vars: Column, components: Column, preprocess: Column, order: Column) -> Column:
+    """0 to 100: a quarter each for the model and its latent variables, 0.3 for channels, 0.2 for preprocessing."""
+
+    def points(of: Column, table: dict, other: int) -> Column:
+        out = F.lit(other)
+        for k, v in table.items():
+            out = F.when(of == k, v).otherwise(out)
+        return out
+
+    latent = F.when(components.isNull() | (components == 0), 50.0).otherwise(F.least(F.lit(100.0), (components - 2) * 100 / 23))
+    prep = points(preprocess, PLAIN_POINTS, 30)
+    for name, by_order in DERIVATIVE_POINTS.items():
+        prep = F.when(preprocess == name, points(order, {k: v for k, v in by_order.items() if k}, by_order[None])).otherwise(prep)
+    return 0.25 * points(model, MODEL_POINTS, 50) + 0.3 * F.least(F.lit(100.0), 4.5 * F.sqrt(n_vars)) + 0.25 * latent + 0.2 * prep
+
+
+def complexity(model: Column, n_vars: Column, components: Column, preprocess: Column, order: Column) -> Column:
+    """complexity_points() to one decimal."""
+    return F.round(complexity_points(model, n_vars, components, preprocess, order), 1)

@@ -23,3 +23,13 @@ def regions(correlations: DataFrame, last: int, size: int = 16, step: int = 8) -
     starts = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("ch") - (size - 1)) / step).cast("int")), F.floor(F.col("ch") / step).cast("int"))
     hit = correlations.where("r is not null").select(F.explode(starts).alias("k"), F.abs("r").alias("a"))
     return hit.groupBy((F.col("k") * step).alias("start")).agg(F.avg("a").alias("mean_corr"), F.max("a").alias("max_corr"), F.count(F.lit(1)).alias("n")).where(F.col("start") <= last)
+
+
+def subsets(ranked: list[dict], n: int = 5) -> dict[str, list[int]]:
+    """Channels of single regions and of the first 2, 5, 10, 15, 20 together, by name. ranked: start, end and channels of the best regions, the best first."""
+    singles = 3 if n <= 5 else 5 if n <= 10 else 7 if n <= 15 else 10
+    out = {f"region_{r['start']:g}-{r['end']:g}": sorted(r["channels"]) for r in ranked[: min(singles, n)] if r["channels"]}
+    for k in (2, 5, 10, 15, 20):
+        if k <= n and (both := sorted({c for r in ranked[:k] for c in r["channels"]})):
+            out[f"top{k}regions"] = both
+    return out

@@ -376,3 +376,6 @@ def smote_balance(spark, sf_dir):
     from prismatic.operators import multivariate
 
     return spectra.long(multivariate.smote(spectra.from_embeddings(spark, sf_dir), "label"), "label")
+
+
+from prismatic.plans import model_queries  # noqa: E402, F401  registers further queries
