@@ -1,11 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of consecutive sentences (the shortest from each start with at least `sentences` sentences and `words` words) is hashed; equal hashes join
-over the whole corpus. The first span, in the document with the smallest doc_id and there at the first place, stays; sentences covered by any other
+Runs of consecutive sentences are hashed: from each sentence the shortest run with at least `words` words, and to each sentence the shortest one that ends
+there. Together they cover every sentence of every repeated run of at least that many words, however long it is and wherever it ends; a sentence of `words`
+words is a run by itself. Equal hashes join over the whole corpus. The first span, in the document with the smallest doc_id and there at the first place, stays; sentences covered by any other
 are removed.
 
-Sentences end after . ! ? … followed by white space, or at a line break; sentences are compared with white space squeezed. Null text counts as empty. A text
-with fewer sentences or words than a run has no spans and stays as it is. Rows that repeat with the same doc_id count as one document: equal spans in them
+Sentences end after . ! ? … followed by white space, or at a line break; sentences are compared with white space squeezed. What a repeated passage shares of
+a sentence whose rest differs stays. Null text counts as empty. A text
+with fewer words than a run has no spans and stays as it is. Rows that repeat with the same doc_id count as one document: equal spans in them
 are all first. A null doc_id comes first of all. An empty table gives no rows.
 """
 
@@ -32,72 +34,72 @@ def sentences_of(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(ends, ends[1:]) if a < b]
 
 
-def runs(text: str, least: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Hash, first and last sentence of each run, and the sentences."""
+def runs(text: str, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Hash, first and last sentence of each run by place, and the sentences."""
     own = sentences_of(text)
     tokens = [s.split() for s in own]
     filled = [k for k, t in enumerate(tokens) if t]
     each = [" ".join(tokens[k]) for k in filled]
-    counts = np.array([len(tokens[k]) for k in filled], dtype=np.int64)
-    total = np.concatenate([[0], np.cumsum(counts)])
     n = len(filled)
-    start = np.arange(n)
-    end = np.maximum(np.searchsorted(total, total[:-1] + words), start + least)
-    ok = end <= n
-    start, end = start[ok], end[ok]
+    total = np.concatenate([[0], np.cumsum(np.array([len(tokens[k]) for k in filled], dtype=np.int64))])
+    # the shortest from each start, and the shortest to each end
+    start = np.concatenate([np.arange(n), np.searchsorted(total, total[1:] - words, side="right") - 1])
+    end = np.concatenate([np.searchsorted(total, total[:-1] + words), np.arange(1, n + 1)])
+    start, end = np.divmod(np.unique((start * (n + 1) + end)[(start >= 0) & (end <= n)]), n + 1)
     h = np.array([xxhash.xxh64_intdigest("\x1f".join(each[a:b])) for a, b in zip(start.tolist(), end.tolist())], dtype=np.uint64).view(np.int64)
     at = np.array(filled, dtype=np.int64)
     return h, at[start] if n else start, at[end - 1] if n else end, own
 
 
-def spans(docs: DataFrame, least: int, words: int) -> DataFrame:
-    """row, doc_id, hash, first, last: each hash of a document once, at its first place; `again` holds whether it recurs there."""
+def spans(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, hash, again: each hash of a row once; `again` holds whether it recurs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, lo, hi, own = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, a, b, _ = runs(text, least, words)
-                _, first = np.unique(h, return_index=True)
-                mine = np.zeros(len(h), dtype=bool)
-                mine[first] = True
-                ids += [doc] * len(h)
+            sizes, hashes, again = [], [], []
+            for text in batch.column(1).to_pylist():
+                h, n = np.unique(runs(text, words)[0], return_counts=True)
+                sizes.append(len(h))
                 hashes.append(h)
-                lo.append(a)
-                hi.append(b)
-                own.append(mine)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(x)) for x in (hashes, lo, hi, own))], ["doc_id", "hash", "first", "last", "own_first"])
+                again.append(n > 1)
+            if sizes:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(again))], ["doc_id", "hash", "again"])
 
-    return docs.mapInArrow(run, "doc_id long, hash long, first long, last long, own_first boolean")
+    return docs.mapInArrow(run, "doc_id long, hash long, again boolean")
 
 
-def removed(docs: DataFrame, least: int = 2, words: int = 20) -> DataFrame:
-    """doc_id, covered (positions of the sentences to remove) for each doc_id that loses any."""
-    found = materialize(spans(ids_and_texts(docs), least, words), "sentence-spans")
-    lowest = F.lit(-(1 << 63))
-    keyed = found.withColumn("id", F.coalesce("doc_id", lowest))
-    firsts = keyed.groupBy("hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "least")
-    gone = skew_join(keyed, firsts, ["hash"]).where("id <> least or not own_first").select("id", "first", "last").distinct()
-    return gone.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("covered"))
+def removed(docs: DataFrame, words: int = 15) -> DataFrame:
+    """id, every (hashes of the spans to remove) and later (hashes whose first span there stays) for each doc_id that loses any."""
+    found = materialize(spans(ids_and_texts(docs), words), "sentence-spans")
+    keyed = found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "hash", "again")
+    firsts = keyed.groupBy("hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.max("again").alias("some")).where("n > 1 or some").select("hash", "least")
+    gone = skew_join(keyed, firsts, ["hash"]).where("id <> least or again")
+    return gone.groupBy("id").agg(F.collect_set(F.when(F.col("id") != F.col("least"), F.col("hash"))).alias("every"), F.collect_set(F.when(F.col("id") == F.col("least"), F.col("hash"))).alias("later"))
 
 
-def deduplicated(docs: DataFrame, least: int = 2, words: int = 20) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = 15) -> DataFrame:
     """doc_id, n_sentences, n_removed, removed_spans ("first-last" sentences, comma-joined) and clean_text for each row."""
     docs = ids_and_texts(docs)
-    both = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(removed(docs, least, words), "id", "left").select("doc_id", "text", "covered")
+    both = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(removed(docs, words), "id", "left").select("doc_id", "text", "every", "later")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count, gone, said, clean = [], [], [], []
-            for text, covered in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = sentences_of(text)
-                dead = np.zeros(len(own) + 1, dtype=np.int64)
-                for s in covered or ():
-                    if s["last"] < len(own):  # rows that share a doc_id may differ in text
-                        dead[s["first"]] += 1
-                        dead[s["last"] + 1] -= 1
-                dead = np.cumsum(dead)[: len(own)] > 0
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                if batch.column(2)[k].is_valid:
+                    h, first, last, own = runs(text, words)
+                    every, later = (np.asarray(batch.column(c)[k].values) for c in (2, 3))
+                    _, once = np.unique(h, return_index=True)
+                    hit = np.isin(h, later)
+                    hit[once] = False
+                    hit |= np.isin(h, every)
+                    dead = np.zeros(len(own) + 1, dtype=np.int64)
+                    np.add.at(dead, first[hit], 1)
+                    np.add.at(dead, last[hit] + 1, -1)
+                    dead = np.cumsum(dead)[: len(own)] > 0
+                else:
+                    own = sentences_of(text)
+                    dead = np.zeros(len(own), dtype=bool)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], dead.astype(np.int8), [0]])))
                 count.append(len(own))
                 gone.append(int(dead.sum()))

@@ -153,6 +153,40 @@ def test_sentences(spark, none):
     assert "".join(sentence_dedup.sentences_of(LONG + "\n\n a. b! \n")) == LONG + "\n\n a. b! \n"
 
 
+def test_sentence_span_edges(spark):
+    def said(tag, n):
+        return " ".join(f"{tag}{j}" for j in range(n))
+
+    # a passage that ends with short sentences; one with a single whole sentence; short sentences of under 20 words together
+    closing, alone, short = f"{said('C', 40)}. {said('D', 8)}. {said('E', 5)}.", f"{said('F', 12)}. {said('G', 30)}. {said('H', 12)}", "One two three four five six. Red green blue white black. Up down left right so."
+    texts = [(1, f"{closing} Own words. {alone} glued one. {short} Last one."), (2, f"Before it all. {closing} Quite other words follow it here and go on for a while until the end."), (3, f"Glued to {alone} the host."), (4, f"Start.\n{short} Finish.")]
+    d = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, hash string")
+    got = {i: r[0] for i, r in by_id(sentence_dedup.deduplicated(d)).items()}
+    assert got[1]["clean_text"] == texts[0][1]
+    assert got[2]["clean_text"] == "Before it all. Quite other words follow it here and go on for a while until the end."
+    assert got[3]["clean_text"] == f"Glued to {said('F', 12)}. {said('H', 12)} the host."
+    assert got[4]["clean_text"] == "Start.\nFinish."
+
+
+def test_sentence_spans_cover_runs(spark):
+    """Every sentence of every repeated run of 15 or more words goes, and no other: against all runs of any length."""
+    r = np.random.default_rng(4)
+    pool = [" ".join(f"{WORDS[k % 18]}{k}{j}" for j in range(int(r.integers(1, 22)))) + "." for k in range(40)]
+    texts = [" ".join(pool[k] for a in r.integers(0, 34, 3) for k in range(a, a + int(r.integers(1, 7)))) for _ in range(30)]
+    got = {i: x[0] for i, x in by_id(sentence_dedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).items()}
+    first, every = {}, []
+    for i, t in enumerate(texts):
+        own = [s.strip() for s in sentence_dedup.sentences_of(t)]
+        every += [(i, a, b, tuple(own[a:b])) for a in range(len(own)) for b in range(a + 1, len(own) + 1) if sum(len(s.split()) for s in own[a:b]) >= 15]
+    for i, a, b, key in every:
+        first.setdefault(key, (i, a))
+    dead = {(i, k) for i, a, b, key in every if first[key] != (i, a) for k in range(a, b)}
+    for i, t in enumerate(texts):
+        own = sentence_dedup.sentences_of(t)
+        assert got[i]["clean_text"] == "".join(s for k, s in enumerate(own) if (i, k) not in dead) and got[i]["n_removed"] == sum(x == i for x, _ in dead)
+    assert dead
+
+
 def test_bpe(docs, none):
     path = P.path("byte_bpe_50k.tiktoken")
     enc = bpe.encoding(path, P.PATTERN)
