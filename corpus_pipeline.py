@@ -33,11 +33,11 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Every document stays; its secrets are masked, and n_chars counts the new text."""
     repo = F.concat_ws("/", "source", "lang")
     _, found = secrets.judged(docs)
-    hit = found.where("spans <> ''").select(F.col("row").alias("__row"), F.col("live_values").alias("__live")).distinct()
+    hit = found.where("spans <> ''").select(F.col("row").alias("__row"), F.col("spans").alias("__spans")).distinct()
     key = secrets.row_key(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id"), F.col("source"), repo)
     marked = docs.withColumn("__row", key).join(hit, "__row", "left")
-    text = F.when(F.col("__live").isNotNull(), secrets.masked(F.col("text"), F.col("__live"))).otherwise(F.col("text"))
-    changed = marked.withColumn("text", text).withColumn("n_chars", F.when(F.col("__live").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    text = F.when(F.col("__spans").isNotNull(), secrets.masked(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
+    changed = marked.withColumn("text", text).withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
 
 

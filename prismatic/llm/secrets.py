@@ -27,10 +27,10 @@ SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 MASK = "[SECRET]"
 
 
-def running(lengths: Column) -> Column:
-    """Inclusive prefix sums of an array of int: at each step every cell adds the one 1, 2, 4, ... places before it."""
+def running(lengths: Column, by=lambda a, b: a + b) -> Column:
+    """Inclusive prefix sums (or maxima) of an array of int, none under 0: at each step every cell adds the one 1, 2, 4, ... places before it."""
     steps = F.filter(F.array(*[F.lit(1 << k) for k in range(26)]), lambda s: s < F.size(lengths))
-    return F.aggregate(steps, lengths, lambda x, s: F.zip_with(x, F.concat(F.array_repeat(F.lit(0), s), F.slice(x, 1, F.size(x) - s)), lambda a, b: a + b))
+    return F.aggregate(steps, lengths, lambda x, s: F.zip_with(x, F.concat(F.array_repeat(F.lit(0), s), F.slice(x, 1, F.size(x) - s)), by))
 
 
 def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
@@ -93,20 +93,22 @@ def judged(docs: DataFrame, owner: Column | None = None, repo: Column | None = N
     out = found.join(verdicts, "row", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:bigint>>")
     added = F.coalesce("added", none)
-    return rows, out.select("doc_id", "row", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat(F.col("base"), added)).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"), F.array_distinct(F.transform(added, lambda s: s["value"])).alias("live_values"))
+    return rows, out.select("doc_id", "row", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat(F.col("base"), added)).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
 
 
-def masked(text: Column, live_values: Column) -> Column:
-    """text with each base span and each bare live value replaced. Each step works on the pieces between its pattern's matches, in one pass."""
+def masked(text: Column, spans: Column) -> Column:
+    """text with what its spans (as listed()) hold replaced, overlapping ones as one."""
+    pairs = F.transform(F.split(spans, ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end")))
 
-    def rebuilt(text: Column, pattern: str, group: int, hit) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-        new = F.zip_with(found, value, lambda m, v: F.when(hit(v), F.lit(MASK)).otherwise(m))
-        between = F.split(text, pattern, -1)
-        joined = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")
-        return F.when(text.rlike(pattern), joined).otherwise(text)
+    def rebuilt(code_points: Column, each: Column) -> Column:
+        """code_points has four bytes each, so that any piece is cut out at once."""
+        before = F.concat(F.array(F.lit(0)), running(F.transform(each, lambda s: s["end"]), lambda a, b: F.greatest(a, b)))
+        # the mark goes in decoding; without it a text's own would
+        cut = lambda a, n: F.decode(F.concat(F.unhex(F.lit("0000FEFF")), F.substring(code_points, 4 * a + 1, 4 * n)), "UTF-32")
+        # the last cell has no span: it is what follows the spans
+        piece = lambda s, b: F.when(s.isNull(), cut(b, F.octet_length(code_points))).when(s["start"] >= b, F.concat(cut(b, s["start"] - b), F.lit(MASK))).otherwise("")
+        return F.array_join(F.zip_with(each, before, piece), "")
 
-    bare = F.when(F.size(live_values) > 0, rebuilt(text, CANDIDATE, 0, lambda v: F.array_contains(live_values, F.xxhash64(v)))).otherwise(text)
-    assign = rebuilt(bare, ASSIGN, 2, lambda v: F.char_length(v) >= 6)
-    return F.regexp_replace(F.regexp_replace(assign, ACCESS, F.lit("[SECRET]")), HEX, F.lit("[SECRET]"))
+    # lambdas over one cell, so that neither is made again for each span
+    once = F.transform(F.array(F.struct(F.encode(text, "UTF-32").alias("t"), F.array_sort(pairs).alias("e"))), lambda x: rebuilt(x["t"], x["e"]))
+    return F.when(spans == "", text).otherwise(once[0])

@@ -80,6 +80,21 @@ def test_secret_ownership(spark):
     assert got == {1: "owner:4:28", 2: "owner:0:24", 3: "", 4: "", 5: ""}
 
 
+def test_secret_masking(spark):
+    """What op1 reports is masked, whatever overlaps it: a key name that is a candidate itself, a value whose first part is one."""
+    import corpus_pipeline
+
+    run = "Abc123" * 4
+    texts = ["漢 AWS_S3_BUCKET_SECRET_TOKEN=hunter2pass end", f"\ufeffsay token={run}.rest-of=it\U0001f600 and {run} \ufefflast", "password: secretvalue1 token=" + "0a" * 14, "plain", None, ""]
+    d = spark.createDataFrame([(i, t, "en", f"s{i}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_masking(spark, d, "").collect()}
+    assert got == {0: "漢 [SECRET] end", 1: "\ufeffsay [SECRET]\U0001f600 and [SECRET] \ufefflast", 2: "[SECRET] [SECRET]", 3: "plain", 4: None, 5: ""}
+    for i, rows in by_id(secrets.judged(d)[1]).items():
+        dead = {k for s in filter(None, rows[0]["spans"].split(",")) for k in range(*map(int, s.split(":")[1:]))}
+        kept = "".join(c for k, c in enumerate(texts[i] or "") if k not in dead)
+        assert (got[i] or "").replace("[SECRET]", "") == kept
+
+
 def test_prefix_sums(spark):
     from pyspark.sql import functions as F
 
