@@ -7,8 +7,8 @@ are removed.
 
 Sentences end after . ! ? … followed by white space, or at a line break; sentences are compared with white space squeezed. What a repeated passage shares of
 a sentence whose rest differs stays. Null text counts as empty. A text
-with fewer words than a run has no spans and stays as it is. Rows that repeat with the same doc_id count as one document: equal spans in them
-are all first. A null doc_id comes first of all. An empty table gives no rows.
+with fewer words than a run has no spans and stays as it is. Rows that repeat with the same doc_id and text count as one document: equal spans in them
+are all first. Different texts under one doc_id, or under none, are documents of their own, in order of a hash of the text. A null doc_id comes first of all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,35 +52,42 @@ def runs(text: str, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
 
 
 def spans(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, hash, again: each hash of a row once; `again` holds whether it recurs there."""
+    """doc_id, text_hash, hash, again: each hash of a row once; `again` holds whether it recurs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, hashes, again = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 h, n = np.unique(runs(text, words)[0], return_counts=True)
                 sizes.append(len(h))
                 hashes.append(h)
                 again.append(n > 1)
             if sizes:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(again))], ["doc_id", "hash", "again"])
+                row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(again))], ["doc_id", "text_hash", "hash", "again"])
 
-    return docs.mapInArrow(run, "doc_id long, hash long, again boolean")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, hash long, again boolean")
 
 
 def removed(docs: DataFrame, words: int = 15) -> DataFrame:
-    """id, every (hashes of the spans to remove) and later (hashes whose first span there stays) for each doc_id that loses any."""
+    """id, text_hash, every (hashes of the spans to remove) and later (hashes whose first span there stays) for each document that loses any."""
     found = materialize(spans(ids_and_texts(docs), words), "sentence-spans")
-    keyed = found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "hash", "again")
+    keyed = found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text_hash", "hash", "again")
     firsts = keyed.groupBy("hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.max("again").alias("some")).where("n > 1 or some").select("hash", "least")
-    gone = skew_join(keyed, firsts, ["hash"]).where("id <> least or again")
-    return gone.groupBy("id").agg(F.collect_set(F.when(F.col("id") != F.col("least"), F.col("hash"))).alias("every"), F.collect_set(F.when(F.col("id") == F.col("least"), F.col("hash"))).alias("later"))
+    repeats = materialize(skew_join(keyed, firsts, ["hash"]), "sentence-repeats")
+    # of the smallest id's texts, the least hash of text comes first
+    own = repeats.where("id = least").select("id", "text_hash", "hash", "again")
+    texts = own.groupBy("hash").agg(F.min("text_hash").alias("lead"), F.max("text_hash").alias("most"), F.max("again").alias("some")).where("lead <> most or some").select("hash", "lead")
+    tied = skew_join(own, texts, ["hash"]).where("text_hash <> lead or again").select("id", "text_hash", "hash", F.expr("text_hash <> lead").alias("whole"))
+    gone = repeats.where("id <> least").select("id", "text_hash", "hash", F.lit(True).alias("whole")).unionByName(tied)
+    return gone.groupBy("id", "text_hash").agg(F.collect_set(F.when(F.col("whole"), F.col("hash"))).alias("every"), F.collect_set(F.when(~F.col("whole"), F.col("hash"))).alias("later"))
 
 
 def deduplicated(docs: DataFrame, words: int = 15) -> DataFrame:
     """doc_id, n_sentences, n_removed, removed_spans ("first-last" sentences, comma-joined) and clean_text for each row."""
     docs = ids_and_texts(docs)
-    both = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(removed(docs, words), "id", "left").select("doc_id", "text", "every", "later")
+    rows = docs.withColumns({"id": F.coalesce("doc_id", F.lit(-(1 << 63))), "text_hash": F.xxhash64("text")})
+    both = rows.join(removed(docs, words), ["id", "text_hash"], "left").select("doc_id", "text", "every", "later")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

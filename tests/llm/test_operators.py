@@ -183,6 +183,15 @@ def test_sentence_span_edges(spark):
     assert got[4]["clean_text"] == "Start.\nFinish."
 
 
+def test_sentence_spans_of_shared_ids(spark):
+    part = "One two three four five six seven eight. Red green blue white black pink grey and brown."
+    other = "Entirely different words stand here in the first place. And quite different ones in the second place too."
+    rows = [(1, f"{part} Tail."), (2, f"{part} Mine."), (2, f"{other} Yours."), (2, f"{other} Yours."), (None, "Up down left right so on and on until the very end of it all today. A."), (None, "Up down left right so on and on until the very end of it all today. B.")]
+    got = sentence_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["clean_text"] for r in got if r["doc_id"]) == sorted([f"{part} Tail.", "Mine.", f"{other} Yours.", f"{other} Yours."])
+    assert sorted(len(r["clean_text"]) for r in got if r["doc_id"] is None) == [2, len(rows[4][1])]
+
+
 def test_sentence_spans_cover_runs(spark):
     """Every sentence of every repeated run of 15 or more words goes, and no other: against all runs of any length."""
     r = np.random.default_rng(4)
