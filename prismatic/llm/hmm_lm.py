@@ -3,9 +3,10 @@
 Tokens are words (A-Z in lower case) and one end token after each text. Counts of all training words come from the corpus-wide shuffle of each
 block's distinct words (wordblocks). The HMM's symbols are word classes (a hash of the word; the end token has its own), so its tables have a
 fixed size; within a class a word has the add-one estimate (c + 1) / (N_class + V_class + 1), whose last part is left for unseen words. Baum-Welch
-runs over all training documents: each task gathers expected counts over its blocks, which Spark sums by position. The likelihood of a text is
-exact: scaled forward recursion over the whole text. In training alone, texts are cut into stretches of SEGMENT tokens that each start from the initial
-distribution; every token takes part.
+runs over all training documents, each as one sequence: each task gathers expected counts over its blocks, which Spark sums by position. So that many
+stretches of a long text can be worked on at once, and memory stays small, a text's forward and backward vectors are first found at every SEGMENT-th token, from the
+products of the stretches' matrices; within a stretch they go on from there. The result is that of the plain recursions. The likelihood of a text is exact: scaled
+forward recursion over the whole text.
 
 A null or empty text is the end token alone. A null doc_id counts as the empty text for the split. Repeated rows each count and each get a row. An empty
 table gives no rows; without training rows all counts are 0 and every state emits uniformly.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .shared import as_array, ids_and_texts, materialize, pack, remainder, unpack, words_of
 from .wordblocks import DOCS, VALUES, blocks, buckets_for, dealt, header, reassembled, stepped, tokens_of, unstepped
 
+#: Tokens of a stretch, and stretches in one matrix of the training pass; results don't depend on them.
 SEGMENT = 64
-#: Stretches in one matrix of the training pass.
 ROWS = 2048
 
 
@@ -47,8 +48,22 @@ class Model:
         move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
         return cls(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def expected(self, symbols: np.ndarray, lens: np.ndarray, total: list[np.ndarray]) -> None:
-        """Add the expected counts of sequences (rows of symbols, longest first, padded) to total: start, move, emit."""
+    def products(self, symbols: np.ndarray, lens: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For each stretch (row of symbols, longest first, padded) the scaled product over its tokens of move times emission: what turns the forward vector before it
+        into the one after it. A document's first token has no move before it."""
+        n, t = symbols.shape
+        k = len(self.start)
+        out = np.empty((n, k, k))
+        for i in range(t):
+            m = int((lens > i).sum())
+            p = np.where(first[:, None, None], np.eye(k), self.move) if i == 0 else (out[:m].reshape(-1, k) @ self.move).reshape(m, k, k)
+            p = p * self.emit[symbols[:m, i]][:, None]
+            out[:m] = p / p.sum((1, 2))[:, None, None]
+        return out
+
+    def expected(self, symbols: np.ndarray, lens: np.ndarray, total: list[np.ndarray], before: np.ndarray, after: np.ndarray, first: np.ndarray) -> None:
+        """Add the expected counts of stretches (rows of symbols, longest first, padded) to total: start, move, emit. Those marked first start a document, others go on
+        from the forward vector `before` of the token before them; after is the backward vector of their last token, up to a factor."""
         n, t = symbols.shape
         k = len(self.start)
         active = [int((lens > i).sum()) for i in range(t)]
@@ -56,23 +71,56 @@ class Model:
         alpha, scale = np.zeros((t, n, k)), np.ones((t, n))
         for i in range(t):
             m = active[i]
-            a = (self.start if i == 0 else alpha[i - 1, :m] @ self.move) * b[:m, i]
+            a = (np.where(first[:, None], self.start, before @ self.move) if i == 0 else alpha[i - 1, :m] @ self.move) * b[:m, i]
             scale[i, :m] = a.sum(1)
             alpha[i, :m] = a / scale[i, :m, None]
-        beta = np.ones((n, k))
+        beta = after / (alpha[lens - 1, np.arange(n)] * after).sum(1, keepdims=True)
         gamma = np.zeros((t, n, k))
         for i in range(t - 1, -1, -1):
             m = active[i]
             gamma[i, :m] = alpha[i, :m] * beta[:m]
+            ahead = beta[:m] * b[:m, i] / scale[i, :m, None]
             if i:
-                ahead = beta[:m] * b[:m, i] / scale[i, :m, None]
                 total[1] += self.move * (alpha[i - 1, :m].T @ ahead)
                 beta[:m] = ahead @ self.move.T
-        total[0] += gamma[0].sum(0)
+            elif not first.all():
+                total[1] += self.move * (before[~first].T @ ahead[~first])
+        total[0] += gamma[0][first].sum(0)
         flat = symbols.T.ravel()
         for j in range(k):
             total[2][:, j] += np.bincount(flat, weights=gamma[:, :, j].ravel(), minlength=len(self.emit))
 
+    def gather(self, symbols: np.ndarray, lens: np.ndarray, total: list[np.ndarray], segment: int = SEGMENT, rows: int = ROWS) -> None:
+        """Add the expected counts of documents, whose symbols lie end to end, to total; in stretches of `segment` tokens, `rows` of them at once."""
+        parts, k = -(-lens // segment), len(self.start)
+        of = np.repeat(np.arange(len(lens)), parts)
+        place = np.arange(len(of)) - (np.cumsum(parts) - parts)[of]
+        at = (np.cumsum(lens) - lens)[of] + place * segment
+        left = np.minimum(lens[of] - place * segment, segment)
+        symbols = np.append(symbols, np.zeros(segment, dtype=np.int64))
+        order = np.argsort(-left, kind="stable")
+
+        def batches(stretches: np.ndarray):
+            for lo in range(0, len(stretches), rows):
+                o = stretches[lo : lo + rows]
+                yield o, symbols[at[o][:, None] + np.arange(int(left[o[0]]))], left[o], place[o] == 0
+
+        matrix = np.empty((len(of), k, k)) if (parts > 1).any() else None
+        for o, cells, n, first in batches(order[parts[of[order]] > 1]):
+            matrix[o] = self.products(cells, n, first)
+        # forward and backward vectors at the ends of stretches, place by place
+        before, after = np.tile(self.start, (len(of), 1)), np.ones((len(of), k))
+        by_place = np.argsort(place, kind="stable")
+        steps = np.split(by_place, np.flatnonzero(np.diff(place[by_place])) + 1)
+        for now in steps[1:]:
+            a = np.einsum("ni,nij->nj", before[now - 1], matrix[now - 1])
+            before[now] = a / a.sum(1, keepdims=True)
+        for now in steps[:0:-1]:
+            b = np.einsum("nij,nj->ni", matrix[now], after[now])
+            after[now - 1] = b / b.sum(1, keepdims=True)
+        for o, cells, n, first in batches(order):
+            self.expected(cells, n, total, before[o], after[o], first)
+
     def next(self, total: list[np.ndarray], frequency: np.ndarray) -> Model:
         """Re-estimated; a pinch of the corpus frequencies keeps every symbol possible in every state."""
         start, move, emit = total[0] + 0.1, total[1] + 0.1, total[2] + 0.5 * len(frequency) * frequency[:, None] + 1e-3
@@ -149,16 +197,8 @@ def trained(table: DataFrame, by: int, held: int, classes: int, states: int, rou
                 for data in batch.column(0):
                     ids, lens, symbols, _ = symbols_of(unpack(data.as_py()), classes)
                     train = remainder(ids.to_pylist(), by) != held
-                    begin = (np.cumsum(lens) - lens)[train]
-                    parts = -(-lens[train] // SEGMENT)
-                    k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-                    at, left = np.repeat(begin, parts) + k * SEGMENT, np.minimum(np.repeat(lens[train], parts) - k * SEGMENT, SEGMENT)
-                    order = np.argsort(-left, kind="stable")
-                    symbols = np.append(symbols, np.zeros(SEGMENT, dtype=np.int64))
-                    for lo in range(0, len(order), ROWS):
-                        o = order[lo : lo + ROWS]
-                        wide = int(left[o[0]])
-                        model.expected(symbols[at[o][:, None] + np.arange(wide)], left[o], total)
+                    if train.any():
+                        model.gather(symbols[np.repeat(train, lens)], lens[train], total)
                         any_row = True
             if any_row:
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in total])], pa.list_(pa.float64()))], ["counts"])
