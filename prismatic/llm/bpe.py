@@ -2,7 +2,8 @@
 
 Every text is split into pre-tokens with positions (wordblocks), each distinct pre-token of the corpus is encoded once in its bucket's task, the ids
 go back to the blocks, and each document is put together by position. Decoding looks ids up in the token-byte table, whose size is the
-vocabulary's (some 50,000 rows) whatever the input.
+vocabulary's (some 50,000 rows) whatever the input. Where a character's class may differ between this splitter and the library, the stretch around
+it, from one certain boundary to the next, is one pre-token.
 
 Null text counts as empty; an empty text has no ids. A text of any length is encoded whole. Repeated rows each get a row. An empty table gives none.
 """
@@ -10,8 +11,10 @@ Null text counts as empty; an empty text has no ids. A text of any length is enc
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +26,14 @@ from pyspark.sql import DataFrame
 from .shared import as_array, ids_and_texts, materialize, pack, ragged, unpack
 from .wordblocks import SCHEMA, VALUES, blocks, buckets_for, dealt, header, reassembled, record, stepped, tokens_of, unstepped
 
-#: Characters whose class (letter, number, space, other) is the same in every Unicode version of the last ten years. A text with others is handed
-#: to the library whole, as one pre-token, so that a difference between two libraries' tables can't move a boundary.
-STABLE = "[\\t-\\r\\x20-\\x7e\\xa0-\\u024f\\u0370-\\u03ff\\u0400-\\u045f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3]*"
+@functools.cache
+def stable() -> str:
+    """A character class: those whose class (letter, number, space, other) is the same in Unicode 3.2 and in this Python's version. Two libraries, whose tables
+    are both later than 3.2, agree on them. Planes past the first, unassigned, private and control characters (but for \\t-\\r) are left out."""
+    kind = lambda data, c: {"L": "L", "N": "N", "Z": "Z", "C": ""}.get(data.category(c)[0], "other")
+    good = [0x09 <= k <= 0x0D or k >= 0x20 and (a := kind(unicodedata, chr(k))) != "" and a == kind(unicodedata.ucd_3_2_0, chr(k)) for k in range(0x10000)]
+    edges = [k for k in range(0x10000) if good[k] != (k > 0 and good[k - 1])] + [0x10000] * good[-1]
+    return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2]))
 
 
 #: For texts of these characters alone, the same classes are spelled out for the faster library: letters, and numbers.
@@ -35,7 +43,10 @@ LETTERS, NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\x
 
 def splitter(pattern: str):
     """texts -> flat pre-tokens and each text's start."""
-    find, stable, plain = regex.compile(pattern).findall, regex.compile(STABLE).fullmatch, re.compile(PLAIN).fullmatch
+    find, plain = regex.compile(pattern).findall, re.compile(PLAIN).fullmatch
+    doubtful = regex.compile(f"[^{stable()}]").search
+    # before a single blank between other characters, all of them stable, a pre-token ends whatever stands elsewhere
+    cut = regex.compile(f"(?<=[{stable()}--\\s])\x20(?=[{stable()}--\\s])", regex.V1).finditer
     # only the classes differ from the pattern; both are tested to agree
     spelled = re.sub(r"\[\^\\s\\p\{L\}\\p\{N\}\]", lambda m: f"[^\\s{LETTERS}{NUMBERS}]", pattern).replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", f"[{NUMBERS}]")
     fast = re.compile(spelled).findall
@@ -44,7 +55,15 @@ def splitter(pattern: str):
         flat: list[str] = []
         at = [0]
         for t in texts.to_pylist():
-            flat += fast(t) if plain(t) else find(t) if stable(t) else [t]
+            if plain(t):
+                flat += fast(t)
+            elif doubtful(t) is None:
+                flat += find(t)
+            else:
+                # what lies between two cuts and holds a doubtful character goes to the library whole, so that its own tables decide
+                ends = [0, *(m.start() for m in cut(t)), len(t)]
+                for a, b in zip(ends, ends[1:]):
+                    flat += find(t[a:b]) if doubtful(t, a, b) is None else [t[a:b]]
             at.append(len(flat))
         return pa.array(flat, pa.large_string()), np.array(at, dtype=np.int64)
 
