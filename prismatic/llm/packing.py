@@ -132,7 +132,13 @@ def packed(docs: DataFrame, path: str, pattern: str, window: int = 1024, end: in
     return cut(placed(tokenized(docs, path, pattern, end)), window, with_ids)
 
 
-def sequences(found: DataFrame) -> DataFrame:
-    """sequence_id and ids (binary) of each sequence from pieces that carry ids: a sequence holds at most `window` pieces."""
+def sequences(found: DataFrame, window: int = 1024, pad: int = 0) -> DataFrame:
+    """sequence_id, n_tokens and ids (binary) of each sequence from pieces that carry ids; a sequence holds at most `window` pieces. The last one is padded to the
+    window with the id `pad`, unless its length is a power of two."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return found.groupBy("sequence_id").agg(parts.alias("parts")).select("sequence_id", F.expr("aggregate(transform(parts, p -> p.ids), X'', (a, x) -> a || x)").alias("ids"))
+    joined = F.expr("aggregate(transform(parts, p -> p.ids), X'', (a, x) -> a || x)")
+    n = F.col("n_tokens")
+    short = F.bit_count(n) != 1
+    padding = F.expr(f"repeat('{pad.to_bytes(4, 'little').hex()}', cast({window} - n_tokens as int))")
+    rows = found.groupBy("sequence_id").agg(parts.alias("parts"), F.sum("length").alias("n_tokens"))
+    return rows.select("sequence_id", "n_tokens", F.when(short, F.concat(joined, F.unhex(padding))).otherwise(joined).alias("ids"))
