@@ -5,7 +5,8 @@ classifier is fitted on a bounded sample of labelled rows (MAX_TOXIC and MAX_CLE
 with per-coordinate rates and L1, whose surviving weights (at most MAX_WEIGHTS, the largest) are broadcast. Every row is scored over its whole text.
 
 Null text counts as empty; an empty text gets the score of the intercept. Labels that are null, or of unknown documents, teach nothing; of several labels for
-a document the largest holds. Repeated rows each get a row. Without labels every score is 0.5 less a little. An empty table gives no rows.
+a document the largest holds, and of several texts the least. Repeated rows each get a row. Without labels of both kinds nothing is learned: every score
+is then the same and under 0.5 (UNLEARNED), so no document is rejected. Other columns, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ MAX_TOXIC, MAX_CLEAN, MAX_WEIGHTS = 3_000, 6_000, 200_000
 #: Bits of the counters that tell rare features.
 COUNTERS = 26
 STEM = 4
+#: The intercept where nothing is learned.
+UNLEARNED = -0.01
 #: Passes over the sample, and the L1 term: as a share of the toxic rows learned from, between bounds.
 ROUNDS, L1_SHARE, L1_LEAST, L1_MOST = 3, 0.06, 1.0, 25.0
 CHUNK_BYTES = 4_000_000
@@ -104,7 +107,7 @@ def fitted(texts: list[str], labels: list[int], rounds: int = ROUNDS, least: int
     some = np.flatnonzero(w[:-1])
     if len(some) > MAX_WEIGHTS:
         some = np.sort(some[np.argsort(-np.abs(w[some]), kind="stable")[:MAX_WEIGHTS]])
-    return keys[some], w[some], float(w[-1])
+    return keys[some], w[some], float(w[-1]) or UNLEARNED  # without evidence a text isn't toxic
 
 
 def sample(docs: DataFrame, labels: DataFrame, by: int, held: int) -> DataFrame:
@@ -113,7 +116,7 @@ def sample(docs: DataFrame, labels: DataFrame, by: int, held: int) -> DataFrame:
     marked = labels.select(doc.cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.where(F.crc32(doc.cast("string").cast("binary")) % by != held).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     some = [marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
-    return docs.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").dropDuplicates(["doc_id"])
+    return docs.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
@@ -121,6 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0) -> tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, y, t) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in range(3))))
+        if len({y for _, y, _ in rows}) < 2:
+            return
         keys, w, bias = fitted([t for _, _, t in rows], [y for _, y, _ in rows])
         del rows
         pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
@@ -130,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0) -> tuple
     chosen = sample(docs, labels, by, held).select("doc_id", "text", "toxic").repartition(1)
     got = chosen.mapInArrow(run, "keys binary, weights binary, bias double").first()
     if got is None:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0
+        return np.zeros(0, dtype=np.uint64), np.zeros(0), UNLEARNED
     return np.frombuffer(bytes(got["keys"]), np.uint64), np.frombuffer(bytes(got["weights"])), got["bias"]
 
 
@@ -173,4 +178,6 @@ def accepted(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0, thr
                 ok = np.concatenate([scores(t, keys, weights, bias) for _, t in pieces(pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), texts], ["i", "t"]), CHUNK_BYTES)]) < threshold
                 yield batch.filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    # by position, as names may hold anything
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
