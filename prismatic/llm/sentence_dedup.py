@@ -2,7 +2,7 @@
 
 Runs of consecutive sentences are hashed: from each sentence the shortest run with at least `words` words, and to each sentence the shortest one that ends
 there. Together they cover every sentence of every repeated run of at least that many words, however long it is and wherever it ends; a sentence of `words`
-words is a run by itself. Equal hashes join over the whole corpus. The first span, in the document with the smallest doc_id and there at the first place, stays; sentences covered by any other
+words is a run by itself. Equal hashes, of 96 bits, join over the whole corpus. The first span, in the document with the smallest doc_id and there at the first place, stays; sentences covered by any other
 are removed.
 
 Sentences end after . ! ? … followed by white space, or at a line break; sentences are compared with white space squeezed. What a repeated passage shares of
@@ -34,8 +34,8 @@ def sentences_of(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(ends, ends[1:]) if a < b]
 
 
-def runs(text: str, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Hash, first and last sentence of each run by place, and the sentences."""
+def runs(text: str, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Hash (64 bits), 32 bits more of it, first and last sentence of each run by place, and the sentences."""
     own = sentences_of(text)
     tokens = [s.split() for s in own]
     filled = [k for k, t in enumerate(tokens) if t]
@@ -46,39 +46,42 @@ def runs(text: str, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
     start = np.concatenate([np.arange(n), np.searchsorted(total, total[1:] - words, side="right") - 1])
     end = np.concatenate([np.searchsorted(total, total[:-1] + words), np.arange(1, n + 1)])
     start, end = np.divmod(np.unique((start * (n + 1) + end)[(start >= 0) & (end <= n)]), n + 1)
-    h = np.array([xxhash.xxh64_intdigest("\x1f".join(each[a:b])) for a, b in zip(start.tolist(), end.tolist())], dtype=np.uint64).view(np.int64)
+    digests = b"".join(xxhash.xxh3_128_digest("\x1f".join(each[a:b])) for a, b in zip(start.tolist(), end.tolist()))
+    h, more = np.frombuffer(digests, np.int64)[::2], np.frombuffer(digests, np.int32)[2::4]
     at = np.array(filled, dtype=np.int64)
-    return h, at[start] if n else start, at[end - 1] if n else end, own
+    return h, more, at[start] if n else start, at[end - 1] if n else end, own
 
 
 def spans(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_hash, hash, again: each hash of a row once; `again` holds whether it recurs there."""
+    """doc_id, text_hash, hash, more, again: each hash of a row once; `again` holds whether it recurs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, hashes, again = [], [], []
+            sizes, hashes, mores, again = [], [], [], []
             for text in batch.column(2).to_pylist():
-                h, n = np.unique(runs(text, words)[0], return_counts=True)
+                h, more, *_ = runs(text, words)
+                h, at, n = np.unique(h, return_index=True, return_counts=True)
                 sizes.append(len(h))
                 hashes.append(h)
+                mores.append(more[at])
                 again.append(n > 1)
             if sizes:
                 row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(again))], ["doc_id", "text_hash", "hash", "again"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(np.concatenate(x)) for x in (hashes, mores, again))], ["doc_id", "text_hash", "hash", "more", "again"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, hash long, again boolean")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, hash long, more int, again boolean")
 
 
 def removed(docs: DataFrame, words: int = 15) -> DataFrame:
     """id, text_hash, every (hashes of the spans to remove) and later (hashes whose first span there stays) for each document that loses any."""
     found = materialize(spans(ids_and_texts(docs), words), "sentence-spans")
-    keyed = found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text_hash", "hash", "again")
-    firsts = keyed.groupBy("hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.max("again").alias("some")).where("n > 1 or some").select("hash", "least")
-    repeats = materialize(skew_join(keyed, firsts, ["hash"]), "sentence-repeats")
+    keyed = found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text_hash", "hash", "more", "again")
+    firsts = keyed.groupBy("hash", "more").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.max("again").alias("some")).where("n > 1 or some").select("hash", "more", "least")
+    repeats = materialize(skew_join(keyed, firsts, ["hash", "more"]), "sentence-repeats")
     # of the smallest id's texts, the least hash of text comes first
-    own = repeats.where("id = least").select("id", "text_hash", "hash", "again")
-    texts = own.groupBy("hash").agg(F.min("text_hash").alias("lead"), F.max("text_hash").alias("most"), F.max("again").alias("some")).where("lead <> most or some").select("hash", "lead")
-    tied = skew_join(own, texts, ["hash"]).where("text_hash <> lead or again").select("id", "text_hash", "hash", F.expr("text_hash <> lead").alias("whole"))
+    own = repeats.where("id = least").select("id", "text_hash", "hash", "more", "again")
+    texts = own.groupBy("hash", "more").agg(F.min("text_hash").alias("lead"), F.max("text_hash").alias("most"), F.max("again").alias("some")).where("lead <> most or some").select("hash", "more", "lead")
+    tied = skew_join(own, texts, ["hash", "more"]).where("text_hash <> lead or again").select("id", "text_hash", "hash", F.expr("text_hash <> lead").alias("whole"))
     gone = repeats.where("id <> least").select("id", "text_hash", "hash", F.lit(True).alias("whole")).unionByName(tied)
     return gone.groupBy("id", "text_hash").agg(F.collect_set(F.when(F.col("whole"), F.col("hash"))).alias("every"), F.collect_set(F.when(~F.col("whole"), F.col("hash"))).alias("later"))
 
@@ -94,7 +97,7 @@ def deduplicated(docs: DataFrame, words: int = 15) -> DataFrame:
             count, gone, said, clean = [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 if batch.column(2)[k].is_valid:
-                    h, first, last, own = runs(text, words)
+                    h, _, first, last, own = runs(text, words)
                     every, later = (np.asarray(batch.column(c)[k].values) for c in (2, 3))
                     _, once = np.unique(h, return_index=True)
                     hit = np.isin(h, later)
