@@ -1,47 +1,63 @@
-"""From raw documents to packed sequences: each stage takes what its predecessor kept. STAGES go by name; run() applies them to documents."""
+"""From raw documents to packed sequences: each stage takes what its predecessor kept. STAGES go by name; run() applies them to documents.
+
+In every stage but the last a row keeps all its columns, whatever their names: they travel as one struct. A null text counts as empty and stays null, a null doc_id is a
+document of its own, and an empty table gives an empty one. What each stage makes of repeated rows and ties is said in its function.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismatic.llm import exact_dedup, near_dedup, packing, secrets, toxicity
+from prismatic.llm import exact_dedup, near_dedup, packing, secrets, shared, toxicity
+
+
+def carried(docs: DataFrame, **more: Column) -> DataFrame:
+    """Each row as one struct `doc`, and further columns."""
+    return docs.select(F.struct("*").alias("doc"), *[c.alias(name) for name, c in more.items()])
+
+
+def text_of(docs: DataFrame) -> Column:
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go."""
+    """Documents scored 0.5 or more go. Without labels of both kinds none does. Repeated rows share their fate."""
     return toxicity.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays; of repeated rows with its doc_id too."""
-    kept = exact_dedup.decided(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).distinct()
-    size = F.char_length(F.coalesce(F.col("text"), F.lit("")))
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (size == kept["__size"]), "left_semi")
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return left.withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row")
+    """Of texts equal but for white space one row stays: the longest, then the smallest doc_id; of rows that repeat with that doc_id and text, any one."""
+    kept = exact_dedup.decided(docs).where("stays").select(F.col("doc_id").alias("keep_id"), F.col("row_hash").alias("keep_hash")).distinct()
+    rows = carried(docs, id=docs["doc_id"].cast("long"), hash=F.xxhash64(text_of(docs)))
+    left = rows.join(kept, rows["id"].eqNullSafe(kept["keep_id"]) & (rows["hash"] == kept["keep_hash"]), "left_semi")
+    once = Window.partitionBy("id", "hash").orderBy(F.lit(1))
+    return left.withColumn("nth", F.row_number().over(once)).where("nth = 1").select("doc.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays: the smallest doc_id, with all its rows."""
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("keep_id")).distinct()
+    rows = carried(docs, id=docs["doc_id"].cast("long"))
+    return rows.join(kept, rows["id"].eqNullSafe(kept["keep_id"]), "left_semi").select("doc.*")
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are masked, and n_chars counts the new text."""
+    """Every row stays; its secrets are masked, and n_chars (where there is such a column) counts the new text."""
     repo = F.concat_ws("/", "source", "lang")
     _, found = secrets.judged(docs)
-    hit = found.where("spans <> ''").select(F.col("row").alias("__row"), F.col("spans").alias("__spans")).distinct()
-    key = secrets.row_key(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id"), F.col("source"), repo)
-    marked = docs.withColumn("__row", key).join(hit, "__row", "left")
-    text = F.when(F.col("__spans").isNotNull(), secrets.masked(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    changed = marked.withColumn("text", text).withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    hit = found.where("spans <> ''").select("row", "spans").distinct()
+    marked = carried(docs, row=secrets.row_key(text_of(docs), docs["doc_id"].cast("long"), docs["source"].cast("string"), repo)).join(hit, "row", "left")
+    masked = F.when(F.col("spans").isNotNull(), secrets.masked(F.col("doc")["text"], F.col("spans"))).otherwise(F.col("doc")["text"])
+    marked = marked.withColumn("masked", masked)
+    counted = F.when(F.col("spans").isNotNull(), F.char_length("masked")).otherwise(F.col("doc")["n_chars"]) if "n_chars" in docs.columns else None
+    own = {"text": F.col("masked"), "n_chars": counted}
+    return marked.select(*[own.get(c, F.col("doc")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens. Repeated rows are packed each; an empty text is its end token."""
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, window=1024, end=0)
 
 
@@ -52,11 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from prismatic.llm.shared import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = len(shared.WRITTEN)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
+            docs = shared.materialize(docs, f"pipeline-{name}")
+            shared.discard(spark, since, -1)  # what led to it
     return docs
