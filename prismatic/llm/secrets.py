@@ -1,8 +1,9 @@
 """Secret scans by corpus-wide ownership frequency, in DataFrame functions alone.
 
 Base spans come from three fixed patterns. Further candidates are long mixed runs of letters and digits. Every candidate value's hash is counted over the
-whole corpus by distinct owners and distinct repositories: a value that many owners hold is a widely copied example; one that stays with at most
-`max_owners` looks live, and its bare occurrences are added as spans of kind "owner".
+whole corpus by distinct owners and distinct repositories: a value that several owners hold, or that is spread over more than `max_repos` repositories
+of one, is a widely copied example; one that stays with at most `max_owners` owners and `max_repos` repositories looks live, and its bare
+occurrences are added as spans of kind "owner". How many documents hold it plays no part.
 
 Null text counts as empty and has no span. Offsets are code points, ends exclusive. Positions come from the pieces between matches by a
 doubling prefix sum, so a text with many matches costs n log n. A null owner or repository counts as one of its own. Repeated rows each get a
@@ -11,15 +12,19 @@ row. An empty table gives none.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, skew_join
 
 # The patterns of the base spans.
-ASSIGN = "(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ASSIGN = "(?=[PpSsTtAa])(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"
-HEX = "(?<![0-9a-f])[0-9a-f]{24,}"
+HEX = "[0-9a-f]{24}[0-9a-f]*+"
+#: A text without any of these strings has no match; finding that out is much cheaper than the pattern.
+NEEDS = {ASSIGN: ("=", ":"), ACCESS: ("AKIA",)}
 #: Method's candidates: a run of 20 or more such characters, with a letter and a digit.
 CANDIDATE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 KINDS = ["assign", "access", "hex", "owner"]
@@ -27,21 +32,38 @@ SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 MASK = "[SECRET]"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it: as the one cell of an array, it is bound to a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def running(lengths: Column, by=lambda a, b: a + b) -> Column:
     """Inclusive prefix sums (or maxima) of an array of int, none under 0: at each step every cell adds the one 1, 2, 4, ... places before it."""
-    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(26)]), lambda s: s < F.size(lengths))
-    return F.aggregate(steps, lengths, lambda x, s: F.zip_with(x, F.concat(F.array_repeat(F.lit(0), s), F.slice(x, 1, F.size(x) - s)), by))
+
+    def summed(x: Column) -> Column:
+        steps = once(F.size(x), lambda n: F.filter(F.array(*[F.lit(1 << k) for k in range(26)]), lambda s: s < n))
+        return F.aggregate(steps, x, lambda x, s: F.zip_with(x, F.concat(F.array_repeat(F.lit(0), s), F.slice(x, 1, F.size(x) - s)), by))
+
+    return once(lengths, summed)
 
 
 def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """Spans of the pattern in text, leftmost and non-overlapping, as SPANS; value is the given group."""
+    """Spans of the pattern in text, leftmost and non-overlapping, as SPANS; value is the given group. A text without a match is read once by the pattern, others twice."""
+
+    def spans(found: Column) -> Column:
+        # what stands before each match
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda p: F.char_length(p))
+        own = F.zip_with(gaps, found, lambda g, m: F.struct((g + F.char_length(m)).alias("step"), F.char_length(m).alias("own"), (F.regexp_extract(m, pattern, group) if group else m).alias("value")))
+
+        def placed(x: Column) -> Column:
+            return F.zip_with(x, running(F.transform(x, lambda r: r["step"])), lambda r, e: F.struct((e - r["own"]).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), r["value"].alias("value")))
+
+        return F.when(F.size(found) > 0, once(own, placed)).otherwise(F.array().cast(SPANS))
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    between = F.split(text, pattern, -1)
-    rows = F.zip_with(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda p, m: F.struct(F.char_length(p).alias("gap"), F.char_length(m).alias("own"))), value, lambda x, v: F.struct(x["gap"].alias("gap"), x["own"].alias("own"), v.alias("value")))
-    ends = running(F.transform(rows, lambda r: r["gap"] + r["own"]))
-    spans = F.zip_with(rows, ends, lambda r, e: F.struct((e - r["own"]).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), r["value"].alias("value")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS)).cast(SPANS)
+    if pattern in NEEDS:
+        found = F.when(functools.reduce(Column.__or__, (text.contains(x) for x in NEEDS[pattern])), found).otherwise(F.array().cast("array<string>"))
+    return once(found, spans).cast(SPANS)
 
 
 def listed(spans: Column) -> Column:
@@ -81,16 +103,16 @@ def ownership(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each, repos.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
-def judged(docs: DataFrame, owner: Column | None = None, repo: Column | None = None, max_owners: int = 1) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame, owner: Column | None = None, repo: Column | None = None, max_owners: int = 1, max_repos: int = 2) -> tuple[DataFrame, DataFrame]:
     """(inputs, a row for each of them: base and added spans, and how many of the spans look live or are examples)."""
     owner = F.col("source") if owner is None else owner
     rows = inputs(docs, owner, F.concat_ws("/", owner, F.col("lang")) if repo is None else repo)
     found = scanned(rows)
     each, values = ownership(found)
-    live = F.col("n_owners") <= max_owners
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
     span = F.struct("start", "kind", "end", "value")
     verdicts = skew_join(each, values, ["value"]).groupBy("row").agg(F.collect_list(F.when(live & (F.col("kind") == 3), span)).alias("added"), F.count(F.when(live, 1)).alias("n_live"), F.count(F.when(~live, 1)).alias("n_example"))
-    out = found.join(verdicts, "row", "left")
+    out = skew_join(found, verdicts, ["row"], "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:bigint>>")
     added = F.coalesce("added", none)
     return rows, out.select("doc_id", "row", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat(F.col("base"), added)).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
@@ -109,6 +131,5 @@ def masked(text: Column, spans: Column) -> Column:
         piece = lambda s, b: F.when(s.isNull(), cut(b, F.octet_length(code_points))).when(s["start"] >= b, F.concat(cut(b, s["start"] - b), F.lit(MASK))).otherwise("")
         return F.array_join(F.zip_with(each, before, piece), "")
 
-    # lambdas over one cell, so that neither is made again for each span
-    once = F.transform(F.array(F.struct(F.encode(text, "UTF-32").alias("t"), F.array_sort(pairs).alias("e"))), lambda x: rebuilt(x["t"], x["e"]))
-    return F.when(spans == "", text).otherwise(once[0])
+    found = once(F.struct(F.encode(text, "UTF-32").alias("t"), F.array_sort(pairs).alias("e")), lambda x: rebuilt(x["t"], x["e"]))
+    return F.when(spans == "", text).otherwise(found)
