@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import struct
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 try:
     import zstandard
@@ -38,10 +40,29 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here and a lost executor costs nothing already written."""
     path = f"{shared_dir(df.sparkSession)}/prismatic/{name}-{uuid.uuid4().hex}"
+    if not WRITTEN:
+        atexit.register(discard, df.sparkSession)
+    WRITTEN.append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What materialize() has written and discard() has not deleted yet.
+WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
+    """Delete the tables WRITTEN[since:upto]. An operator's result reads its last tables lazily, so this is for who has written the result: the pipeline
+    after each stage, components() after each round, and the driver when it ends."""
+    gone, WRITTEN[since:upto] = WRITTEN[since:upto], []
+    sc = spark.sparkContext
+    if not gone or sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    for p in gone:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -145,13 +166,17 @@ def ragged(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 2000) -> DataFrame:
     """left join right on keys, where a key may hold a large part of left's rows and few of right's.
 
-    Keys with over 1/share of left's rows are at most `share` in number, so that list can be broadcast; their rows are dealt over several
-    partitions and right's rows for them are repeated in each. left is read twice and should be cheap to read. how: inner, left or left_semi.
+    Keys with over 1/share of left's rows are at most `share` in number, so their list can come to the driver and be broadcast; their rows are dealt over several
+    partitions and right's rows for them are repeated in each. Without such keys it is a plain join. left is read once more for the count by key (its row
+    count is in the files' footers) and should be cheap to read. how: inner, left or left_semi.
     """
-    counts = left.groupBy(*keys).count()
-    total = left.count()
-    most = max(200, total // share)
-    hot = F.broadcast(counts.where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("__copies")))
-    salted = left.join(hot, keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__copies").cast("long")), F.lit(0).cast("long"))).drop("__copies")
-    spread = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("__copies", F.lit(1)) - 1).cast("long")))).drop("__copies")
+    most = max(200, left.count() // share)
+    counts = left.groupBy(*keys).count().where(F.col("count") > most)
+    hot = [(*r[:-1], -(-r[-1] // most)) for r in counts.collect() if None not in r]
+    if not hot:
+        return left.join(right, keys, how)
+    schema = T.StructType([left.schema[k] for k in keys] + [T.StructField("__copies", T.LongType())])
+    hot = F.broadcast(left.sparkSession.createDataFrame([tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in hot], schema))
+    salted = left.join(hot, keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__copies")), F.lit(0).cast("long"))).drop("__copies")
+    spread = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__copies", F.lit(1).cast("long")) - 1))).drop("__copies")
     return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
