@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from prismatic.functions import registry
 from prismatic.operators import relational, scoring, search
 from prismatic.plans.specs import markdown_report
 from prismatic.sources import facade
@@ -21,7 +22,11 @@ def options(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--format", default="auto")
     p.add_argument("--task", choices=["regression", "classification"], default="regression")
     p.add_argument("--models", nargs="+", default=None)
-    p.add_argument("--preprocessing", nargs="+", default=["raw", "snv", "deriv"])
+    p.add_argument("--tier", default="quick", help="models to try where none are named: quick, standard, comprehensive or experimental")
+    p.add_argument("--derivatives", nargs="+", type=int, choices=[1, 2], default=[1, 2])
+    p.add_argument("--variable-counts", nargs="*", type=int, default=list(search.COUNTS), help="sizes of subsets by importance; none for full spectra alone")
+    p.add_argument("--regions", type=int, default=5, help="best regions to try; 0 for none")
+    p.add_argument("--preprocessing", nargs="+", default=["raw", "snv", "deriv", "snv_deriv", "deriv_snv"])
     p.add_argument("--windows", nargs="+", type=int, default=[7, 19])
     p.add_argument("--folds", type=int, default=5)
     p.add_argument("--max-components", type=int, default=8)
@@ -40,16 +45,14 @@ def main(argv: list[str] | None = None) -> list[dict]:
     target = F.col(f"`{o.target}`")
     reference = found.select(F.col(f"`{o.key}`").alias("sample_id"), (target.try_cast("double") if o.task == "regression" else target).alias("y"))
     samples = relational.aligned(x, reference.dropDuplicates(["sample_id"]), "sample_id", "y")
-    if o.task == "regression":
-        ran = search.searched(samples, "y", tuple(o.models or ("PLS", "Ridge")), tuple(o.preprocessing), tuple(o.windows), o.folds, o.max_components)
-    else:
-        ran = search.searched_classes(samples, "y", tuple(o.models or ("PLS-DA", "RandomForest")), tuple(o.preprocessing), tuple(o.windows), o.folds, o.max_components)
-    order = F.when(F.col("preprocess").contains("deriv"), 1).otherwise(0)
-    points = scoring.complexity(F.col("model"), F.col("n_vars"), F.get_json_object("params", "$.n_components").cast("int"), F.col("preprocess"), order)
-    ranked = scoring.composite(ran.withColumn("complexity", points / 100), o.task, o.variable_penalty, o.complexity_penalty).orderBy("rank", "config")
+    models = tuple(o.models or registry.tier_models(o.tier, o.task))
+    run = search.searched if o.task == "regression" else search.searched_classes
+    ran = run(samples, "y", models, tuple(o.preprocessing), tuple(o.windows), o.folds, o.max_components, orders=tuple(o.derivatives), counts=tuple(o.variable_counts), regions=o.regions, axis=axis)
+    points = scoring.complexity(F.col("model"), F.col("n_vars"), F.col("lvs"), F.col("preprocess"), F.col("deriv"))
+    ranked = scoring.composite(ran.withColumn("complexity", points), o.task, o.variable_penalty, o.complexity_penalty).orderBy("rank", "config", "subset")
     if o.results:
         ranked.write.mode("overwrite").parquet(o.results)
-        ranked = spark.read.parquet(o.results).orderBy("rank", "config")
+        ranked = spark.read.parquet(o.results).orderBy("rank", "config", "subset")
     rows = [r.asDict() for r in ranked.collect()]  # one row a configuration
     if o.report:
         facade.write_bytes(spark, o.report, markdown_report(o.target, rows).encode())

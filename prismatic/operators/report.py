@@ -11,7 +11,7 @@ from prismatic.functions.linalg import f_quantile, kennard_stone
 from prismatic.operators.multivariate import MAX_SAMPLES, principal
 from prismatic.operators.search import prepared
 
-#: Samples that describe a model's domain: all of a small set, else this many in Kennard-Stone order.
+# Samples that describe a model's domain: all of a small set, else this many in Kennard-Stone order; and components.
 SMALL, DESCRIBED, MAX_COMPONENTS = 100, 150, 20
 
 

@@ -1,4 +1,4 @@
-"""Search over preprocessing x model x parameters x channels, scored by cross-validation: one task for each configuration and fold."""
+"""Search over preprocessing x model x parameters x channels, scored by cross-validation: one task for each configuration, subset of channels and fold."""
 
 from __future__ import annotations
 
@@ -10,116 +10,190 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismatic.functions.arrays import savgol_matrix
 from prismatic.functions.learners import auc, classifier
 from prismatic.functions.linalg import model
+from prismatic.functions.registry import grid, has_importances, importances, own_name, takes_subsets
+from prismatic.functions.steps import Chain
+from prismatic.operators.resampling import grown
+from prismatic.operators.screening import REGION_SIZE, REGION_STEP, subsets
 
-# The standard grids.
-GRIDS = {
-    "PLS": {"n_components": [2, 3, 4, 5, 6, 7, 8]},
-    "Ridge": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0]},
-    "Lasso": {"alpha": [0.001, 0.01, 0.1, 1.0]},
-    "ElasticNet": {"alpha": [0.01, 0.1, 1.0], "l1_ratio": [0.3, 0.5, 0.7]},
-    "NeuralBoosted": {"hidden": [3, 5], "activation": ["tanh", "identity"]},
-    "RandomForest": {"n": [100], "depth": [30]},
-    "BoostedTrees": {"n": [100, 200], "rate": [0.05, 0.1], "depth": [3, 6]},
-    "SVR": {"kernel": ["rbf", "linear"], "c": [1.0, 10.0]},
-    "MLP": {"hidden": [[64], [128, 64]]},
-    "PLS-DA": {"n_components": [2, 3, 4, 5, 6, 7, 8]},
-    "SVM": {"kernel": ["rbf", "linear"], "c": [1.0, 10.0]},
-}
 #: Samples that a search takes: each task holds them all. Calibration sets have hundreds.
 MAX_SAMPLES = 20_000
+# Numbers of channels that subsets by importance have, and channels named for a configuration.
+COUNTS, NAMED = (10, 20, 50, 100, 250, 500, 1000), 30
+#: channels: null for full spectra.
+RESULTS = "config int, model string, params string, preprocess string, deriv int, window int, subset string, channels array<int>"
 
 
-def prepared(x: np.ndarray, how: str, window: int) -> np.ndarray:
+def prepared(x: np.ndarray, how: str, window: int, order: int = 1) -> np.ndarray:
     """raw, snv, deriv, snv_deriv or deriv_snv, along each row."""
-    for step in how.split("_") if how != "raw" else ():
-        if step == "snv":
-            sd = x.std(1, keepdims=True)
-            x = (x - x.mean(1, keepdims=True)) / np.where(sd == 0, 1, sd)
-        else:
-            x = x @ savgol_matrix(x.shape[1], window).T
-    return x
+    return Chain(how, order, window).apply(x)
 
 
-def configurations(models: list[str], preprocessing: list[str], windows: list[int], max_components: int) -> list[dict]:
+def treatments(preprocessing, windows, orders) -> list[tuple[str, int, int]]:
+    """(name, order of the derivative, window); those without a derivative have 0 and 0."""
+    return [t for how in preprocessing for t in ([(how, d, w) for d in orders for w in windows] if "deriv" in how else [(how, 0, 0)])]
+
+
+def configurations(models, preprocessing, windows, max_components: int, orders=(1,)) -> list[dict]:
     out = []
     for name in models:
-        grid = GRIDS[name]
-        for values in itertools.product(*grid.values()):
-            params = dict(zip(grid, values))
-            if params.get("n_components", 0) <= max_components:
-                out += [{"model": name, "params": json.dumps(params), "preprocess": how, "window": w} for how in preprocessing for w in (windows if "deriv" in how else [0])]
+        values = grid(name, max_components)
+        for one in itertools.product(*values.values()):
+            params = json.dumps(dict(zip(values, one)))
+            out += [{"model": name, "params": params, "preprocess": how, "deriv": d, "window": w} for how, d, w in treatments(preprocessing, windows, orders)]
     return out
 
 
-def searched(samples: DataFrame, y: str, models=("PLS", "Ridge"), preprocessing=("raw", "snv", "deriv"), windows=(7, 19), folds: int = 5, max_components: int = 8, seed: int = 42) -> DataFrame:
-    """model, params, preprocess, window, rmse and r2 (means over folds), pooled_r2, n_vars. samples: sample_id, values, y.
+def region_channels(x: np.ndarray, y: np.ndarray, axis: np.ndarray, n: int, size: float, step: float) -> dict[str, list[int]]:
+    """Channels of subsets() for the n windows [start, start + size) of the axis with the largest mean |r|."""
+    e, t = x - x.mean(0), y - y.mean()
+    norm = np.sqrt((e**2).sum(0) * (t @ t))
+    r = np.abs(np.divide(e.T @ t, norm, out=np.full(len(axis), np.nan), where=norm > 0))
+    found = []
+    for start in np.arange(axis.min(), axis.max(), step):
+        inside = np.flatnonzero((axis >= start) & (axis < start + size) & ~np.isnan(r))
+        if len(inside):
+            found.append({"start": float(start), "end": float(start + size), "channels": inside.tolist(), "mean": float(r[inside].mean())})
+    return subsets(sorted(found, key=lambda f: -f["mean"])[:n], n)
+
+
+class Data:
+    """What each task holds: spectra, target, axis, folds; and what all configurations share."""
+
+    def __init__(self, x, y, axis, folds: int, classes: bool, interference, balance):
+        self.x, self.y, self.axis, self.folds, self.classes, self.interference, self.balance = x, y, axis, folds, classes, list(interference), balance
+        self.fold = np.arange(len(y)) % folds
+        self.codes = np.unique(y, return_inverse=True)[1].astype(float) if classes else y
+
+    def chain(self, r) -> Chain:
+        made = Chain(r.preprocess, r.deriv or 1, r.window, self.interference)
+        self.after = np.asarray(made.axis(list(self.axis)))
+        return made
+
+    def fitted(self, r, z: np.ndarray, rows: np.ndarray):
+        params, y = json.loads(r.params), self.y[rows]
+        if self.balance:  # on the rows learned from alone
+            more, of = grown(z, self.codes[rows].astype(np.int64), self.balance, 5, 42) if np.bincount(self.codes[rows].astype(np.int64)).min() > 5 else (z[:0], np.zeros(0, dtype=np.int64))
+            z, y = np.concatenate([z, more]), np.concatenate([y, np.unique(self.y)[of]])
+        return (classifier if self.classes else model)(own_name(r.model), params).fit(z, y)
+
+    def subsets(self, r, counts, regions: int, size: float, step: float):
+        """(name, channels after preprocessing) to try beside the full spectra. Importances and correlations are those of all samples."""
+        every = np.ones(len(self.y), dtype=bool)
+        z = self.chain(r).fit_apply(self.x, self.codes)
+        out = []
+        if counts and takes_subsets(r.model):
+            order = np.argsort(-importances(self.fitted(r, z, every)), kind="stable")
+            out += [(f"top{n}", np.sort(order[:n]).tolist()) for n in counts if n < z.shape[1]]
+        if regions:
+            out += list(region_channels(z, self.codes, self.after, regions, size, step).items())
+        return out
+
+    def score(self, r) -> dict:
+        """Of one fold: its errors; of fold -1: the channels of a model of all samples."""
+        test = self.fold == r.fold
+        chain = self.chain(r)
+        z = chain.fit_apply(self.x[~test], self.codes[~test])
+        channels = np.asarray(r.channels, dtype=int) if r.channels is not None else np.arange(z.shape[1])
+        axis = self.after[channels]
+        fitted = self.fitted(r, z[:, channels], ~test)
+        if r.fold < 0:
+            top = axis[np.argsort(-importances(fitted), kind="stable")[:NAMED]] if has_importances(r.model) else []
+            return {"n_vars": len(channels), "top_vars": ",".join(f"{w:.1f}" for w in top) or "N/A", "all_vars": ",".join(f"{w:.1f}" for w in axis) if r.channels is not None else "N/A"}
+        if not test.any():
+            return {}
+        z, y = chain.apply(self.x[test])[:, channels], self.y[test]
+        if self.classes:
+            p = fitted.proba(z)
+            areas = [a for k, c in enumerate(fitted.classes) if not np.isnan(a := auc((y == c).astype(int), p[:, k]))]
+            return {"a": float((fitted.classes[p.argmax(1)] == y).mean()), "b": float(np.mean(areas)) if areas else None}
+        e = y - fitted.predict(z)
+        at = np.searchsorted(np.quantile(self.y, [0.25, 0.5, 0.75]), y, side="right")
+        spread = ((y - y.mean()) ** 2).sum()
+        return {"a": float(np.sqrt((e**2).mean())), "b": float(1 - (e**2).sum() / spread) if spread else None, "sse": float((e**2).sum()), "q_sse": np.bincount(at, e**2, 4).tolist(), "q_n": np.bincount(at, minlength=4).tolist()}
+
+
+SCORES = "n_vars int, top_vars string, all_vars string, a double, b double, sse double, q_sse array<double>, q_n array<long>"
+
+
+def spread_over(df: DataFrame, n: int) -> DataFrame:
+    return df.repartition(max(1, min(n, 4 * df.sparkSession.sparkContext.defaultParallelism)))
+
+
+def ran(spark, data: Data, models, preprocessing, windows, orders, max_components, counts, regions, region_size, region_step) -> DataFrame:
+    """RESULTS with SCORES for each fold, and fold -1 for a model of all samples."""
+    held = spark.sparkContext.broadcast(data)
+    configs = configurations(models, preprocessing, windows, max_components, orders)
+    rows = [(k, *c.values(), "full", None) for k, c in enumerate(configs)]
+    full = spark.createDataFrame(rows, RESULTS)
+
+    def propose(batches):
+        for batch in batches:
+            out = [(*r, name, channels) for r in batch.itertuples(index=False) for name, channels in held.value.subsets(r, counts, regions, region_size, region_step)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULTS.split(", ")])
+
+    def fit(batches):
+        for batch in batches:
+            out = [held.value.score(r) for r in batch.itertuples(index=False)]
+            yield batch.assign(**{c: pd.Series([o.get(c) for o in out], dtype=object) for c in (s.split()[0] for s in SCORES.split(", "))})
+
+    every = full
+    if counts or regions:
+        every = full.unionByName(spread_over(full.drop("subset", "channels"), len(rows)).mapInPandas(propose, RESULTS))
+    # the number of configurations times folds is known but for the subsets' part
+    grid_rows = every.withColumn("fold", F.explode(F.sequence(F.lit(-1), F.lit(data.folds - 1))))
+    return spread_over(grid_rows, len(rows) * (data.folds + 1)).mapInPandas(fit, f"{RESULTS}, fold int, {SCORES}")
+
+
+KEYS = ["config", "model", "params", "preprocess", "deriv", "window", "subset"]
 
-    Fold of a sample: its place in an order by a hash of seed and id, modulo folds. Preprocessing is by row, so nothing leaks between folds.
+
+def searched(samples: DataFrame, y: str, models=("PLS", "Ridge"), preprocessing=("raw", "snv", "deriv"), windows=(7, 19), folds: int = 5, max_components: int = 8, seed: int = 42, orders=(1,), counts=(), regions: int = 0, axis: list[float] | None = None, interference=(), region_size: float = REGION_SIZE, region_step: float = REGION_STEP, fold: str | None = None) -> DataFrame:
+    """model, params, preprocess, deriv, window, subset, rmse and r2 (means over folds), pooled_r2, n_vars, full_vars, lvs, regional_rmse (by quarter of y), all_vars, top_vars.
+
+    samples: sample_id, values, y. Fold of a sample: its place in an order by a hash of seed and id, modulo folds, or the column fold (0 to folds - 1). orders: of derivatives. counts: sizes of subsets by
+    importance (COUNTS are the usual ones); regions: how many of the best regions to try. As importances and correlations are those of all samples, subsets
+    look somewhat better than they are. interference: steps (functions/steps.py) fitted inside each fold.
     """
-    rows = samples.select("sample_id", "values", F.col(y).cast("double").alias("y")).orderBy(F.xxhash64(F.lit(seed), "sample_id"), "sample_id").limit(MAX_SAMPLES + 1).toPandas()
+    own = [F.col(fold).cast("int").alias("fold")] if fold else []
+    rows = samples.select("sample_id", "values", F.col(y).cast("double").alias("y"), *own).orderBy(F.xxhash64(F.lit(seed), "sample_id"), "sample_id").limit(MAX_SAMPLES + 1).toPandas()
     if len(rows) > MAX_SAMPLES:
         raise ValueError(f"a search takes at most {MAX_SAMPLES} samples: choose some first")
-    spark = samples.sparkSession
-    data = spark.sparkContext.broadcast((np.stack(rows["values"]) if len(rows) else np.zeros((0, 0)), rows["y"].to_numpy(dtype=float)))
-    configs = [(k, f, c["model"], c["params"], c["preprocess"], c["window"]) for k, c in enumerate(configurations(list(models), list(preprocessing), list(windows), min(max_components, len(rows) // folds - 1))) for f in range(folds)]
-    grid = spark.createDataFrame(configs, "config int, fold int, model string, params string, preprocess string, window int")
-
-    def fit(batches):
-        x, y = data.value
-        fold = np.arange(len(y)) % folds
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                z = prepared(x, r.preprocess, r.window)
-                test = fold == r.fold
-                e = y[test] - model(r.model, json.loads(r.params)).fit(z[~test], y[~test]).predict(z[test])
-                out.append((float(np.sqrt((e**2).mean())), float(1 - (e**2).sum() / ((y[test] - y[test].mean()) ** 2).sum()), float((e**2).sum())))
-            yield batch.assign(**dict(zip(("rmse", "r2", "sse"), zip(*out))) if out else {"rmse": [], "r2": [], "sse": []})
-
-    each = grid.repartition(min(len(configs), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(fit, grid.schema.simpleString()[7:-1].replace(":", " ") + ", rmse double, r2 double, sse double")
-    y_all = data.value[1]
-    total = float(((y_all - y_all.mean()) ** 2).sum()) if len(y_all) else 1.0
-    n = data.value[0].shape[1]
-    return each.groupBy("config", "model", "params", "preprocess", "window").agg(F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"), (1 - F.sum("sse") / total).alias("pooled_r2")).withColumn("n_vars", F.lit(n)).withColumn("full_vars", F.lit(n))
-
-
-def searched_classes(samples: DataFrame, y: str, models=("PLS-DA", "RandomForest"), preprocessing=("raw", "snv"), windows=(7,), folds: int = 5, max_components: int = 8, seed: int = 42) -> DataFrame:
-    """model, params, preprocess, window, accuracy and auc (one against the rest, mean over classes, then over folds). Folds go by places within a class."""
-    spark = samples.sparkSession
+    x, t = np.stack(rows["values"]) if len(rows) else np.zeros((0, 0)), rows["y"].to_numpy(dtype=float)
+    axis = np.arange(x.shape[1], dtype=float) if axis is None else np.asarray(axis, dtype=float)
+    data = Data(x, t, axis, folds, False, interference, None)
+    if fold:
+        data.fold = rows["fold"].to_numpy(dtype=int)
+    each = ran(samples.sparkSession, data, models, preprocessing, windows, orders, min(max_components, len(t) // folds - 1, x.shape[1]), counts, regions, region_size, region_step)
+    total = float(((t - t.mean()) ** 2).sum()) if len(t) else 1.0
+    quarter = [F.sqrt(F.try_divide(F.sum(F.col("q_sse")[k]), F.sum(F.col("q_n")[k]))) for k in range(4)]
+    out = each.groupBy(*KEYS).agg(F.avg("a").alias("rmse"), F.avg("b").alias("r2"), (1 - F.sum("sse") / total).alias("pooled_r2"), F.max("n_vars").alias("n_vars"), F.array(*quarter).alias("regional_rmse"), F.max("all_vars").alias("all_vars"), F.max("top_vars").alias("top_vars"))
+    return out.withColumns({"full_vars": F.lit(x.shape[1]), "lvs": F.get_json_object("params", "$.n_components").cast("int")})
+
+
+def searched_classes(samples: DataFrame, y: str, models=("PLS-DA", "RandomForest"), preprocessing=("raw", "snv"), windows=(7,), folds: int = 5, max_components: int = 8, seed: int = 42, orders=(1,), counts=(), regions: int = 0, axis: list[float] | None = None, interference=(), balance: str | None = None, region_size: float = REGION_SIZE, region_step: float = REGION_STEP) -> DataFrame:
+    """As searched(), with accuracy and auc (one against the rest, mean over classes, then over folds). Folds go by places within a class. balance: smote, borderline_smote or
+    adasyn, on the rows learned from alone."""
     rows = samples.select("sample_id", "values", F.col(y).cast("string").alias("y")).where("y is not null").orderBy("y", F.xxhash64(F.lit(seed), "sample_id"), "sample_id").limit(MAX_SAMPLES + 1).toPandas()
     if len(rows) > MAX_SAMPLES:
         raise ValueError(f"a search takes at most {MAX_SAMPLES} samples: choose some first")
-    data = spark.sparkContext.broadcast((np.stack(rows["values"]), rows["y"].to_numpy(dtype=str)))
-    configs = [(k, f, c["model"], c["params"], c["preprocess"], c["window"]) for k, c in enumerate(configurations(list(models), list(preprocessing), list(windows), max_components)) for f in range(folds)]
-    grid = spark.createDataFrame(configs, "config int, fold int, model string, params string, preprocess string, window int")
+    x = np.stack(rows["values"])
+    axis = np.arange(x.shape[1], dtype=float) if axis is None else np.asarray(axis, dtype=float)
+    each = ran(samples.sparkSession, Data(x, rows["y"].to_numpy(dtype=str), axis, folds, True, interference, balance), models, preprocessing, windows, orders, min(max_components, x.shape[1]), counts, regions, region_size, region_step)
+    out = each.groupBy(*KEYS).agg(F.avg("a").alias("accuracy"), F.avg("b").alias("auc"), F.max("n_vars").alias("n_vars"), F.max("all_vars").alias("all_vars"), F.max("top_vars").alias("top_vars"))
+    return out.withColumns({"full_vars": F.lit(x.shape[1]), "lvs": F.get_json_object("params", "$.n_components").cast("int")})
 
-    def fit(batches):
-        x, y = data.value
-        fold = np.arange(len(y)) % folds
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                z, test = prepared(x, r.preprocess, r.window), fold == r.fold
-                fitted = classifier(r.model, json.loads(r.params)).fit(z[~test], y[~test])
-                p = fitted.proba(z[test])
-                areas = [a for k, c in enumerate(fitted.classes) if not np.isnan(a := auc((y[test] == c).astype(int), p[:, k]))]
-                out.append((float((fitted.classes[p.argmax(1)] == y[test]).mean()), float(np.mean(areas)) if areas else float("nan")))
-            yield batch.assign(**dict(zip(("accuracy", "auc"), zip(*out))) if out else {"accuracy": [], "auc": []})
-
-    each = grid.repartition(min(len(configs), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(fit, grid.schema.simpleString()[7:-1].replace(":", " ") + ", accuracy double, auc double")
-    n = data.value[0].shape[1]
-    return each.groupBy("config", "model", "params", "preprocess", "window").agg(F.avg("accuracy").alias("accuracy"), F.avg(F.when(~F.isnan("auc"), F.col("auc"))).alias("auc")).withColumn("n_vars", F.lit(n)).withColumn("full_vars", F.lit(n))
-
-
-def predicted(spectra: DataFrame, fitted, preprocess: str = "raw", window: int = 7) -> DataFrame:
-    """spectra with `pred` of a fitted model, in Arrow batches."""
+
+def predicted(spectra: DataFrame, fitted, preprocess: str = "raw", window: int = 7, order: int = 1, channels: list[int] | None = None) -> DataFrame:
+    """spectra with `pred` of a fitted model, in Arrow batches; channels after preprocessing, where the model takes some of them."""
     m = spectra.sparkSession.sparkContext.broadcast(fitted)
 
     @F.pandas_udf("double")
     def score(v: pd.Series) -> pd.Series:
-        return pd.Series(m.value.predict(prepared(np.stack(v), preprocess, window))) if len(v) else pd.Series([], dtype=float)
+        if not len(v):
+            return pd.Series([], dtype=float)
+        z = prepared(np.stack(v), preprocess, window, order)
+        return pd.Series(m.value.predict(z if channels is None else z[:, channels]))
 
     return spectra.withColumn("pred", score("values"))

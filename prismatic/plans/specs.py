@@ -1,4 +1,4 @@
-"""Text specifications of parameter ranges and of wavelengths; tiers of models; reports."""
+"""Text specifications of parameter ranges and of wavelengths; reports."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import re
 NUMBER = r"[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?"
 STEPS = re.compile(rf"({NUMBER})\s*-\s*({NUMBER})\s+step\s+(\S+)", re.I)
 
-# Models by tier.
-TIERS = {"quick": ["PLS", "Ridge", "ElasticNet"], "standard": ["PLS", "Ridge", "Lasso", "ElasticNet"], "comprehensive": ["PLS", "Ridge", "Lasso", "ElasticNet"]}
-
 
 def parse_range(text: str, name: str, kind: type = float, allow_none: bool = False) -> list:
     """"1, 5-9 step 2, None": numbers sorted once each after None; strings keep their order; empty gives []."""
