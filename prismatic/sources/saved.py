@@ -7,43 +7,37 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismatic.sources.models import load_linear, model_info, save_linear
+from prismatic.operators.ensemble import KINDS, combined
+from prismatic.sources.models import load_model, model_info, save_model
 
 
-def save_ensemble(spark: SparkSession, models: dict, path: str, axis: list[float], kind: str, edges: list[float], errors: DataFrame, **about) -> None:
-    """Linear models by name, the edges of the regions and the errors (model, region, rmse) there. kind: simple_average, region_weighted, mixture, soft_mixture."""
-    if kind not in KINDS:
-        raise ValueError(f"unknown ensemble {kind}")
+def save_ensemble(spark: SparkSession, models: dict, path: str, axis: list[float], ensemble: dict, **about) -> None:
+    """Models of any kind by name, and what ensemble.created() made of their predictions."""
+    if ensemble["kind"] not in KINDS:
+        raise ValueError(f"unknown ensemble {ensemble['kind']}")
     for name, model in models.items():
-        save_linear(spark, model, f"{path}/models/{name}", axis, name=name)
-    spark.createDataFrame([(json.dumps({"kind": kind, "edges": edges, "models": sorted(models)} | about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
-    errors.select("model", "region", "rmse").coalesce(1).write.mode("overwrite").parquet(f"{path}/errors")
+        save_model(spark, model, f"{path}/models/{name}", axis, name=name)
+    meta = {k: v for k, v in ensemble.items() if k != "errors"} | {"models": sorted(models)} | about
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    if "errors" in ensemble:
+        ensemble["errors"].select("model", "region", "rmse").coalesce(1).write.mode("overwrite").parquet(f"{path}/errors")
 
 
 def load_ensemble(spark: SparkSession, path: str) -> dict:
     meta = model_info(spark, path)
-    return meta | {"models": {n: load_linear(spark, f"{path}/models/{n}")[0] for n in meta["models"]}, "errors": spark.read.parquet(f"{path}/errors")}
-
-
-# The kinds of ensembles.
-KINDS = ["simple_average", "region_weighted", "mixture", "soft_mixture"]
+    loaded = meta | {"models": {n: load_model(spark, f"{path}/models/{n}")[0] for n in meta["models"]}}
+    return loaded if "stacking" in meta["kind"] else loaded | {"errors": spark.read.parquet(f"{path}/errors")}
 
 
 def predicted(spectra: DataFrame, ensemble: dict) -> DataFrame:
     """id (sample_id) and pred of a loaded ensemble."""
-    from prismatic.operators import ensemble as e
     from prismatic.operators import search
 
     preds = None
     for name, model in sorted(ensemble["models"].items()):
         part = search.predicted(spectra, model).select(F.col("sample_id").alias("id"), F.lit(name).alias("model"), "pred")
         preds = part if preds is None else preds.unionByName(part)
-    kind, edges, errors = ensemble["kind"], ensemble["edges"], ensemble["errors"]
-    if kind == "simple_average":
-        return e.simple_average(preds)
-    if kind == "mixture":
-        return e.mixture(preds, errors, edges)
-    return e.region_weighted(preds, e.regional_weights(errors), edges)
+    return combined(preds, ensemble)
 
 
 def save_profiles(profiles: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,13 +107,19 @@ def jcamp_of(text: str) -> tuple[list[float], list[float], str]:
 
 
 def read_text_spectra(spark: SparkSession, path: str, kind: str = "ascii") -> DataFrame:
-    """sample_id (the file's stem), axis and values, one row a file, of ascii, asd (text) or jcamp files under path (a glob)."""
-    parse = (lambda t: jcamp_of(t)[:2]) if kind == "jcamp" else pairs_of
+    """sample_id (the file's stem), axis and values, one row a file, of ascii, asd (text) or jcamp files under path (a glob). A jcamp file of several records gives
+    a row for each, by its title."""
+
+    def records(stem: str, text: str) -> list[tuple]:
+        if kind != "jcamp":
+            return [(stem, *pairs_of(text))]
+        parts = [t + "##END=\n" for t in text.split("##END=") if "##TITLE=" in t] or [text]
+        found = [jcamp_of(t) for t in parts]
+        return [(title if len(parts) > 1 else stem, axis, values) for axis, values, title in found]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [parse(t) for t in b["value"]]
-            yield pd.DataFrame({"sample_id": b["sample_id"], "axis": [a for a, _ in found], "values": [v for _, v in found]})
+            yield pd.DataFrame([r for stem, t in zip(b["sample_id"], b["value"]) for r in records(stem, t)], columns=["sample_id", "axis", "values"])
 
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("sample_id"), "value")
     return files.mapInPandas(run, "sample_id string, axis array<double>, values array<double>")
@@ -121,8 +128,18 @@ def read_text_spectra(spark: SparkSession, path: str, kind: str = "ascii") -> Da
 def on_common_axis(read: DataFrame, least: int = LEAST_CHANNELS) -> tuple[DataFrame, list[float]]:
     """Rows of different axes on the union of all; channels a row lacks are null. The axis is small, whatever the rows."""
     axis = strictly_rising(sorted(r["w"] for r in read.select(F.explode("axis").alias("w")).distinct().collect()), least)
-    at = F.map_from_arrays("axis", "values")
-    return read.select("sample_id", F.transform(F.array(*map(F.lit, axis)), lambda w: F.try_element_at(at, w)).alias("values")), axis
+    every = np.array(axis)
+
+    @F.pandas_udf("array<double>")
+    def placed(own: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for a, v in zip(own, values):
+            row = np.full(len(every), np.nan)
+            row[np.searchsorted(every, np.asarray(a, dtype=float))] = np.asarray(v, dtype=float)
+            out.append(row)
+        return pd.Series(out)
+
+    return read.select("sample_id", F.transform(placed("axis", "values"), lambda v: F.when(~F.isnan(v), v)).alias("values")), axis
 
 
 def jcamp_text(title: str, axis: list[float], values: list[float], xunits: str = "NANOMETERS", yunits: str = "REFLECTANCE") -> str:
@@ -131,9 +148,11 @@ def jcamp_text(title: str, axis: list[float], values: list[float], xunits: str =
 
 
 def write_jcamp(spectra: DataFrame, axis: list[float], path: str) -> None:
-    """A record for each sample, in text files under path, one sample a partition folder."""
-    text = F.udf(lambda i, v: jcamp_text(str(i), axis, list(v)), "string")
-    spectra.select("sample_id", text("sample_id", "values").alias("value")).write.partitionBy("sample_id").text(path)
+    """Records of all samples in text files under path, as many files as partitions; a sample's record follows another's. Text is put together by column functions."""
+    head = jcamp_text("{}", axis, [0.0] * len(axis)).split("##TITLE={}\n")[1].split("(XY..XY)\n")[0] + "(XY..XY)"
+    points = F.zip_with(F.array(*[F.lit(repr(w)) for w in axis]), "values", lambda w, v: F.concat(w, F.lit(", "), v.cast("string")))
+    text = F.concat(F.lit("##TITLE="), F.col("sample_id").cast("string"), F.lit("\n" + head + "\n"), F.array_join(points, "\n"), F.lit("\n##END="))
+    spectra.select(text.alias("value")).write.text(path)
 
 
 def write_csv(spectra: DataFrame, axis: list[float], path: str, decimals: int = 6) -> None:
