@@ -5,6 +5,7 @@ from __future__ import annotations
 import statistics
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,21 +46,35 @@ def spacing(axis: DataFrame, wl: str) -> DataFrame:
     return s.agg(F.expr("percentile(s, 0.5)").alias("median_step"), F.min("s").alias("min_step"), F.max("s").alias("max_step"), (F.stddev_pop("s") / F.avg("s") < 1e-6).alias("interpolated"))
 
 
-def quantile_pairs(df: DataFrame, x: str, points: int = 512) -> list[tuple[float, float]]:
-    """(normal quantile, observed quantile) for a Q-Q plot: at most `points` of them, whatever the rows."""
-    n = min(points, df.where(F.col(x).isNotNull()).count())
-    if not n:
-        return []
-    p = np.linspace(1 / (n + 1), n / (n + 1), n)
-    at = F.array(*[F.lit(float(q)) for q in np.linspace(0, 1, n)])
-    seen = df.agg(F.percentile(x, at).alias("q")).first()["q"]
-    return [(statistics.NormalDist().inv_cdf(float(a)), b) for a, b in zip(p, seen)]
+def ranked(df: DataFrame, x: str, buckets: int = 256) -> DataFrame:
+    """x of the rows that have it, its place from 1 in ascending order, and n, the number of such rows. Rows go to buckets between approximate quantiles, are
+    numbered there, and get the number of rows in the buckets below: no task sorts them all."""
+    rows = df.select(x).where(F.col(x).isNotNull())
+    edges = sorted(set(rows.agg(F.percentile_approx(x, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("q")).first()["q"] or []))
+    rows = rows.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(x))) if edges else F.lit(0))
+    counts = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}  # at most `buckets`
+    below, so_far = [], 0
+    for b in range(len(edges) + 1):
+        below.append(so_far)
+        so_far += counts.get(b, 0)
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(x)) + F.array(*[F.lit(k) for k in below])[F.col("bucket")]
+    return rows.select(x, place.cast("long").alias("place"), F.lit(so_far).cast("long").alias("n"))
+
+
+def quantile_pairs(df: DataFrame, x: str) -> DataFrame:
+    """place, probability, expected (the normal quantile of probability) and observed, for a Q-Q plot: a row for every value, at place k of n the probability
+    k / (n + 1)."""
+
+    @F.pandas_udf("double")
+    def normal(p: pd.Series) -> pd.Series:
+        return p.map(statistics.NormalDist().inv_cdf)
+
+    rows = ranked(df, x).select("place", (F.col("place") / (F.col("n") + 1)).alias("probability"), F.col(x).alias("observed"))
+    return rows.withColumn("expected", normal("probability"))
 
 
 def jackknife(spark, make, x: np.ndarray, y: np.ndarray, new: np.ndarray, confidence: float = 0.95) -> list[tuple[float, float, float]]:
     """(prediction, lower, upper) for each row of new: a model refitted without each sample in turn, a task for some of them."""
-    import pandas as pd
-
     from prismatic.functions.linalg import t_quantile
 
     data, n = spark.sparkContext.broadcast((x, y, new)), len(y)

@@ -59,11 +59,22 @@ def common_grid(axes: list[list[float]]) -> list[float]:
     return [lo + k * step for k in range(int((hi - lo) / step + 1e-9) + 1)]
 
 
-def equalized(sources: dict[str, tuple[DataFrame, list[float]]]) -> tuple[DataFrame, list[float]]:
-    """Rows of all instruments on the common grid, with `instrument`."""
+def mapping(axis: list[float], grid: list[float], fitted: dict | None = None):
+    """What takes an instrument's rows to the common grid: resampling and then, where one is given, a fitted transfer (transfer.apply_transfer) on that grid."""
+    from prismatic.operators.transfer import apply_transfer
+
+    def to_grid(df: DataFrame) -> DataFrame:
+        out = df.withColumn("values", arrays.resampled(F.col("values"), axis, grid))
+        return apply_transfer(out, fitted) if fitted else out
+
+    return to_grid
+
+
+def equalized(sources: dict[str, tuple[DataFrame, list[float]]], transfers: dict[str, dict] | None = None) -> tuple[DataFrame, list[float]]:
+    """Rows of all instruments on the common grid, with `instrument`; transfers: fitted ones for some instruments, on that grid."""
     grid, out = common_grid([a for _, a in sources.values()]), None
     for name, (df, axis) in sources.items():
-        part = df.withColumn("values", arrays.resampled(F.col("values"), axis, grid)).withColumn("instrument", F.lit(name))
+        part = mapping(axis, grid, (transfers or {}).get(name))(df).withColumn("instrument", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out, grid
 

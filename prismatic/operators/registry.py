@@ -37,6 +37,14 @@ class Registry:
     def remove(self, key: str) -> None:
         del self.sources[key]
 
+    def clear(self) -> None:
+        self.sources.clear()
+
+    def merged_summary(self, rows: DataFrame, axis: list[float], how: str) -> dict:
+        """What merge() made: rows, channels, range, and rows of each source."""
+        counts = {r["datasource"]: r["count"] for r in rows.groupBy("datasource").count().collect()}
+        return {"strategy": how, "n_samples": sum(counts.values()), "n_channels": len(axis), "range": [axis[0], axis[-1]] if axis else None, "sources": counts}
+
     def merge(self, keys: list[str] | None = None, how: str = "intersection", duplicates: str = "error", target: list[float] | None = None) -> tuple[DataFrame, list[float]]:
         """Rows of the sources on one axis: how is intersection, union or interpolation (onto target, or onto all wavelengths). Ids in several sources: error,
         rename (the source's name in front) or keep_first (in order of the sources)."""
@@ -60,3 +68,8 @@ class Registry:
 
     def to_json(self) -> str:
         return json.dumps({k: s.summary() for k, s in self.sources.items()})
+
+
+def load_configuration(text: str) -> dict:
+    """What to_json() said of each source; rows are not part of it."""
+    return json.loads(text)

@@ -29,8 +29,15 @@ def mean_spectrum(spectra: DataFrame) -> list[float]:
     return [r["m"] for r in sorted(rows, key=lambda r: r["ch"])]
 
 
-def msc(spectra: DataFrame, reference: list[float] | None = None) -> DataFrame:
-    return spectra.withColumn("values", arrays.scatter_corrected(F.col("values"), reference or mean_spectrum(spectra)))
+def median_spectrum(spectra: DataFrame) -> list[float]:
+    rows = long(spectra).groupBy("ch").agg(F.percentile("value", F.lit(0.5)).alias("m")).collect()
+    return [r["m"] for r in sorted(rows, key=lambda r: r["ch"])]
+
+
+def msc(spectra: DataFrame, reference: str | list[float] = "mean") -> DataFrame:
+    """Against the mean or median spectrum, or one given."""
+    named = {"mean": mean_spectrum, "median": median_spectrum}
+    return spectra.withColumn("values", arrays.scatter_corrected(F.col("values"), named[reference](spectra) if isinstance(reference, str) else reference))
 
 
 def glsw(spectra: DataFrame, regularization: float = 1e-6) -> DataFrame:

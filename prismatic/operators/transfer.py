@@ -23,8 +23,13 @@ def apply_tsr(spectra: DataFrame, fitted: DataFrame) -> DataFrame:
     return spectra.withColumn("values", F.zip_with("values", lines, lambda x, k: x * k["a"] + k["b"]))
 
 
+#: Partial sums that one task of the second level adds up.
+FAN_IN = 64
+
+
 def summed(pairs: DataFrame, size: int, wide: int) -> np.ndarray:
-    """The sum of a' b over rows (a of size, b of wide): each task sums its rows, and cells are summed by place. size * wide numbers whatever the rows."""
+    """The sum of a' b over rows (a of size, b of wide): each task sums its rows to one block of doubles, and a second level adds up FAN_IN blocks a task, so that blocks,
+    not cells, are shuffled and few reach the driver."""
 
     def part(batches):
         g, found = np.zeros((size, wide)), False
@@ -33,12 +38,21 @@ def summed(pairs: DataFrame, size: int, wide: int) -> np.ndarray:
                 found = True
                 g += np.stack(b["a"]).T @ np.stack(b["b"])
         if found:
-            yield pd.DataFrame({"g": [g.ravel()]})
+            yield pd.DataFrame({"g": [g.tobytes()]})
+
+    def added(batches):
+        g, found = np.zeros(size * wide), False
+        for b in batches:
+            for one in b["g"]:
+                g, found = g + np.frombuffer(one), True
+        if found:
+            yield pd.DataFrame({"g": [g.tobytes()]})
 
-    sums = pairs.select("a", "b").mapInPandas(part, "g array<double>").select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(size * wide)
-    out[sums["i"]] = sums["v"]
-    return out.reshape(size, wide)
+    blocks = pairs.select("a", "b").mapInPandas(part, "g binary")
+    n = -(-pairs.rdd.getNumPartitions() // FAN_IN)
+    if n > 1:
+        blocks = blocks.repartition(n).mapInPandas(added, "g binary")
+    return sum((np.frombuffer(bytes(r["g"])) for r in blocks.toLocalIterator()), np.zeros(size * wide)).reshape(size, wide)
 
 
 def own_gram(spectra: DataFrame, size: int) -> np.ndarray:

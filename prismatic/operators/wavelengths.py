@@ -37,12 +37,18 @@ def scored_subsets(spark: SparkSession, x: np.ndarray, y: np.ndarray, subsets: l
 
 def uve(x: np.ndarray, y: np.ndarray, cutoff: float = 1.0, components: int = 5, k: int = 5, seed: int = 42) -> np.ndarray:
     """Mask of channels whose coefficient is steadier over folds than that of any of as many noise channels; all, if none is."""
-    noise = np.random.default_rng(seed).normal(size=x.shape) * 1e-10 + np.random.default_rng(seed + 1).normal(size=x.shape) * x.std()
+    steady, limit = steadiness(x, y, components, k, seed)
+    mask = steady > cutoff * limit
+    return mask if mask.any() else np.ones(x.shape[1], dtype=bool)
+
+
+def steadiness(x: np.ndarray, y: np.ndarray, components: int = 5, k: int = 5, seed: int = 42) -> tuple[np.ndarray, float]:
+    """Each channel's mean coefficient over its deviation over folds, and the largest of as many noise channels, which vary as the spectra do."""
+    noise = np.random.default_rng(seed).normal(size=x.shape) * x.std()
     both, fold = np.hstack([x, noise]), fold_of(len(y), k, seed)
     b = np.array([Pls(components).fit(both[fold != f], y[fold != f]).coef for f in range(k)])
     steady = np.abs(b.mean(0)) / (b.std(0) + 1e-12)
-    mask = steady[: x.shape[1]] > cutoff * steady[x.shape[1] :].max()
-    return mask if mask.any() else np.ones(x.shape[1], dtype=bool)
+    return steady[: x.shape[1]], float(steady[x.shape[1] :].max())
 
 
 def ipls(spark: SparkSession, x: np.ndarray, y: np.ndarray, intervals: int = 20, components: int = 5, k: int = 5) -> list[tuple[int, int, float]]:
@@ -69,7 +75,7 @@ def cars(spark: SparkSession, x: np.ndarray, y: np.ndarray, rounds: int = 30, co
 
 
 def vcpa(spark: SparkSession, x: np.ndarray, y: np.ndarray, outer: int = 5, draws: int = 60, components: int = 5, k: int = 5, seed: int = 42) -> list[int]:
-    """Random subsets, each scored in a task; channels of the better half's subsets gain weight 1 / error, and those below half of the largest weight go."""
+    """Random subsets, each scored in a task; a channel's weight is the mean of 1 / error over the subsets that hold it, and those below the median weight go."""
     rng, now = np.random.default_rng(seed), np.arange(x.shape[1])
     best, least = now.tolist(), float("inf")
     for o in range(outer):
@@ -85,7 +91,22 @@ def vcpa(spark: SparkSession, x: np.ndarray, y: np.ndarray, outer: int = 5, draw
     return best
 
 
+def compared(spark: SparkSession, x: np.ndarray, y: np.ndarray, n: int = 30, k: int = 5) -> list[dict]:
+    """method, n_channels, rmse in cross-validation and seconds of SPA, CARS and VCPA."""
+    import time
+
+    from prismatic.functions.linalg import spa
+
+    out = []
+    for name, choose in {"spa": lambda: spa(x, n), "cars": lambda: cars(spark, x, y, k=k), "vcpa": lambda: vcpa(spark, x, y, k=k)}.items():
+        t = time.perf_counter()
+        channels = sorted(map(int, choose()))
+        out.append({"method": name, "n_channels": len(channels), "rmse": cv_rmse(x[:, channels], y, min(5, len(channels)), k), "seconds": time.perf_counter() - t})
+    return out
+
+
 def uve_spa(x: np.ndarray, y: np.ndarray, n: int, cutoff: float = 1.0) -> list[int]:
+    """n channels by SPA of those that UVE lets through, or all of these where they are fewer."""
     from prismatic.functions.linalg import spa
 
     inside = np.flatnonzero(uve(x, y, cutoff))
