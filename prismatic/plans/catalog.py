@@ -239,16 +239,19 @@ def spectrum_roughness(spark, sf_dir):
 
 
 CONFIGS = """r AS (SELECT l_suppkey AS config, sqrt(avg(power(l_extendedprice - l_quantity * 1500.0, 2))) AS rmse, 1 - sum(power(l_extendedprice - l_quantity * 1500.0, 2)) / sum(power(l_extendedprice - 38000.0, 2)) AS r2,
-             l_suppkey % 40 + 1 AS n_vars, 64 AS full_vars, (l_suppkey % 7) / 10.0 AS complexity FROM lineitem GROUP BY l_suppkey)"""
+             l_suppkey % 40 + 1 AS n_vars, 64 AS full_vars, CASE l_suppkey % 4 WHEN 0 THEN l_suppkey % 30 + 1 END AS lvs,
+             CASE l_suppkey % 4 WHEN 1 THEN 0.25 WHEN 2 THEN 0.8 ELSE 0.5 END AS kind FROM lineitem GROUP BY l_suppkey)"""
 
 
-@query(f"""WITH {CONFIGS}, z AS (SELECT config, 0.5 * (rmse - avg(rmse) OVER ()) / stddev_samp(rmse) OVER () - 0.5 * (r2 - avg(r2) OVER ()) / stddev_samp(r2) OVER () + 0.09 * n_vars / full_vars + 0.25 * complexity AS score FROM r)
+@query(f"""WITH {CONFIGS}, z AS (SELECT config, 0.5 * (rmse - avg(rmse) OVER ()) / stddev_samp(rmse) OVER () - 0.5 * (r2 - avg(r2) OVER ()) / stddev_samp(r2) OVER () + 0.09 * n_vars / full_vars + 0.25 * coalesce(CASE WHEN lvs IS NOT NULL THEN least(lvs / 25.0, 1) END, kind) AS score FROM r)
            SELECT config, round(score, 5) + 0.0 AS score, rank() OVER (ORDER BY z.score)::INTEGER AS rank FROM z""")
 def composite_score_rank(spark, sf_dir):
     e = F.col("l_extendedprice") - F.col("l_quantity") * 1500.0
     g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("config")).agg(F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / F.sum(F.pow(F.col("l_extendedprice") - 38000.0, 2))).alias("r2"))
-    g = g.withColumn("n_vars", F.col("config") % 40 + 1).withColumn("full_vars", F.lit(64)).withColumn("complexity", F.col("config") % 7 / 10.0)
-    return rounded(scoring.composite(g).select("config", "score", "rank"), "score", to=5)
+    g = g.withColumn("n_vars", F.col("config") % 40 + 1).withColumn("full_vars", F.lit(64))
+    kind, lvs = F.col("config") % 4, (F.col("config") % 30 + 1).cast("int")
+    g = g.withColumn("model", F.when(kind == 0, "PLS").when(kind == 1, "Ridge").when(kind == 2, "MLP").otherwise("Other")).withColumn("lvs", F.when(kind == 0, lvs))
+    return rounded(scoring.composite(g, variable_penalty=3.0, complexity_penalty=5.0).select("config", "score", "rank"), "score", to=5)
 
 
 @query("""WITH p AS (SELECT toxic AS y, CASE WHEN length(text) > 1500 THEN 1 ELSE 0 END AS p FROM labels JOIN documents USING (doc_id)),
@@ -257,7 +260,7 @@ def composite_score_rank(spark, sf_dir):
 def class_metrics(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.char_length("text") > 1500, 1).otherwise(0).alias("p"))
     m = scoring.class_metrics(table(spark, sf_dir, "labels").join(d, "doc_id"), "toxic", "p")
-    return rounded(m, *m.columns)
+    return rounded(m.select("accuracy", "balanced_accuracy", "f1_macro", "f1_weighted"), "accuracy", "balanced_accuracy", "f1_macro", "f1_weighted")
 
 
 TSR = f"""WITH {LONG}, b AS (SELECT a.ch, a.value AS m, s.value AS s FROM lng a JOIN lng s ON s.ch = a.ch AND s.sample_id = a.sample_id + 1 AND a.sample_id % 2 = 0),
@@ -317,8 +320,8 @@ def quality_consensus(spark, sf_dir):
 def pls_search(spark, sf_dir):
     from prismatic.operators import search
 
-    found = search.searched(spectra.from_embeddings(spark, sf_dir), "label", models=("PLS", "Ridge"), preprocessing=("raw", "snv"), max_components=4)
-    return scoring.composite(found.withColumn("complexity", F.lit(0.5))).select("model", "params", "preprocess", "rmse", "r2", "pooled_r2", "score", "rank")
+    found = search.searched(spectra.from_embeddings(spark, sf_dir), "label")
+    return scoring.composite(found).select("model", "params", "preprocess", "deriv", "window", "rmse", "r2", "pooled_r2", "score", "rank")
 
 
 @query()
@@ -357,20 +360,6 @@ def direct_standardization(spark, sf_dir):
     return spectra.long(transfer.apply_matrix(slave, transfer.fit_ds(s.where("sample_id % 2 = 0"), slave, spectra.channels(s), 1e-3)))
 
 
-@query()
-def duplex_split(spark, sf_dir):
-    from prismatic.operators import multivariate
-
-    return multivariate.duplex(spectra.from_embeddings(spark, sf_dir), 60, 20)
-
-
-@query()
-def spxy_selection(spark, sf_dir):
-    from prismatic.operators import multivariate
-
-    return multivariate.selected_samples(spectra.from_embeddings(spark, sf_dir), 40, "label")
-
-
 @query()
 def smote_balance(spark, sf_dir):
     from prismatic.operators import multivariate

@@ -45,12 +45,11 @@ def test_spc_bytes():
 def test_round_trips(spark, spectra, tmp_path, kind, name):
     df, axis = spectra
     path = str(tmp_path / name)
-    facade.write_spectra(df, axis, path, kind)
+    facade.write_spectra(df.coalesce(1) if kind == "jcamp" else df, axis, path, kind)  # one file of several records
     if kind == "jcamp":
-        read, found = facade.read_spectra(spark, f"{path}/*/*.txt", "jcamp")
-        assert found == axis and read.count() == 3
-        return
-    read, found = facade.read_spectra(spark, path)
+        read, found = facade.read_spectra(spark, f"{path}/*.txt", "jcamp")
+    else:
+        read, found = facade.read_spectra(spark, path)
     assert found == axis
     assert {r["sample_id"]: r["values"] for r in read.collect()} == {r["sample_id"]: r["values"] for r in df.collect()}
 
