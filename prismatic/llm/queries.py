@@ -85,6 +85,19 @@ def oracle_sql() -> dict[str, str]:
                    sum(4 + length(regexp_replace(role, '\\|###|</turn>|:', '\\\0', 'g')) + 2
                        + length(regexp_replace(text, '\\|###|</turn>', '\\\0', 'g')) + 9)::BIGINT AS formatted_chars
             FROM t GROUP BY conv_id""",
+        "op8_near_dedup": r"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+                FROM documents),
+            s AS MATERIALIZED (
+                SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                                  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+                FROM w),
+            e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+            shared AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS m, any_value(b.n) AS n FROM e a JOIN e b USING (h) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+            l AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * k >= 85 * (m + n - k) UNION ALL SELECT b, a FROM shared WHERE 100 * k >= 85 * (m + n - k)),
+            r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+            SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) ON a = doc_id""",
         "op10_exact_top_k": r"""
             WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings),
             s AS (
