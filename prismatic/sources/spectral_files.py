@@ -40,6 +40,32 @@ def strictly_rising(axis: list[float], least: int) -> list[float]:
     return axis
 
 
+def separator(spark: SparkSession, path: str, least: int = 10) -> str:
+    """The first of comma, tab, semicolon and blank that cuts the header into more than `least` columns; else the one that gives most."""
+    first = spark.read.text(path).first()
+    line = first["value"] if first else ""
+    counts = {sep: len(line.split(sep)) for sep in (",", "\t", ";", " ")}
+    return next((sep for sep, n in counts.items() if n > least), max(counts, key=counts.get))
+
+
+# Headers of a single spectrum in long form.
+LONG_AXIS, LONG_VALUE = ("wavelength", "wavelength_nm"), ("value", "intensity", "reflectance", "pct_reflect")
+
+
+def read_long_csv(spark: SparkSession, path: str, sep: str = ",", least: int = LEAST_CHANNELS) -> tuple[DataFrame, list[float]]:
+    """A spectrum a file, with a row for each wavelength: sample_id is the file's stem. Wavelengths are rounded to two decimals, the first of equal ones by value stays."""
+    df = spark.read.option("header", True).option("sep", sep).csv(path)
+    named = {c.strip().lower(): c for c in df.columns}
+    wl, value = (next((named[n] for n in names if n in named), None) for names in (LONG_AXIS, LONG_VALUE))
+    if not wl or not value:
+        raise ValueError(f"a long table needs one of {LONG_AXIS} and one of {LONG_VALUE}")
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(\.[^.]*)?$", 1)
+    rows = df.select(stem.alias("sample_id"), F.round(F.col(f"`{wl}`").try_cast("double"), 2).alias("w"), F.col(f"`{value}`").try_cast("double").alias("v")).dropna()
+    points = F.array_sort(F.collect_list(F.struct("w", "v")))
+    one = rows.groupBy("sample_id", "w").agg(F.min("v").alias("v")).groupBy("sample_id").agg(points.alias("p"))
+    return on_common_axis(one.select("sample_id", F.col("p.w").alias("axis"), F.col("p.v").alias("values")), least)
+
+
 def read_wide_csv(spark: SparkSession, path: str, sep: str = ",", least: int = LEAST_CHANNELS) -> tuple[DataFrame, list[float]]:
     """First column the sample, numeric headers the axis, other columns left out."""
     df = spark.read.option("header", True).option("sep", sep).csv(path)
@@ -48,11 +74,20 @@ def read_wide_csv(spark: SparkSession, path: str, sep: str = ",", least: int = L
     return df.select(F.col(f"`{df.columns[0]}`").alias("sample_id"), F.array(*[F.col(f"`{c}`").try_cast("double") for c in axis]).alias("values")), list(axis.values())
 
 
-def read_combined_csv(spark: SparkSession, path: str, y: str, sample: str | None = None, sep: str = ",", least: int = LEAST_CHANNELS) -> tuple[DataFrame, list[float]]:
-    """sample_id, values and y from one table: rows with a missing channel or target go; of repeated ids the first in sort order stays."""
-    df = spark.read.option("header", True).option("sep", sep).csv(path)
+def read_combined_csv(spark: SparkSession, path: str, y: str | None = None, sample: str | None = None, sep: str | None = None, least: int = LEAST_CHANNELS) -> tuple[DataFrame, list[float]]:
+    """sample_id, values and y from one table: rows with a missing channel or target go; of repeated ids the first in sort order stays. Without y the
+    target is found by its name, without sep the separator by the header."""
+    df = spark.read.option("header", True).option("sep", sep or separator(spark, path)).csv(path)
     axis = axis_columns(df.columns)
     strictly_rising(list(axis.values()), least)
+    if y is None:
+        from prismatic.sources.facade import id_column, target_column
+
+        sample = sample or id_column(df, list(axis))
+        left = [c for c in df.columns if c not in axis and c != sample]
+        # one row: how many numbers each of the few other columns holds
+        held = df.agg(*[F.count(F.col(f"`{c}`").try_cast("double")).alias(f"n{k}") for k, c in enumerate(left)]).first() if left else []
+        y = target_column(left, {c for c, n in zip(left, held) if n})
     rest = [c for c in df.columns if c not in axis and c != y]
     sample = sample or next((c for n in ID_NAMES for c in rest if c.lower().strip() == n), rest[0] if rest else None)
     key = F.col(f"`{sample}`") if sample else F.concat(F.lit("Sample_"), (F.monotonically_increasing_id() + 1).cast("string"))

@@ -3,7 +3,7 @@ import struct
 import numpy as np
 import pytest
 
-from prismatic.sources import binary_files, excel, facade
+from prismatic.sources import binary_files, excel, facade, spectral_files
 
 
 @pytest.fixture()
@@ -92,3 +92,22 @@ def test_detection(spark):
     assert facade.signal_kind(make([0.8, 0.7, 0.2, 0.7, 0.8] * 4))[0] == "reflectance"
     assert facade.signal_kind(make([0.1, 0.2, 2.5, 0.2, 0.1] * 4))[0] == "absorbance"
     assert facade.signal_kind(make([])) == ("reflectance", 50.0)
+
+
+def test_long_and_sniffed_tables(spark, tmp_path):
+    for name, scale in (("one", 1.0), ("two", 2.0)):
+        (tmp_path / f"{name}.csv").write_text("Wavelength_nm,Reflectance,note\n" + "".join(f"{400 + k},{scale * k},x\n" for k in range(120)))
+    rows, axis = spectral_files.read_long_csv(spark, str(tmp_path / "*.csv"))
+    assert axis == [400.0 + k for k in range(120)] and {r["sample_id"]: r["values"][3] for r in rows.collect()} == {"one": 3.0, "two": 6.0}
+    head = ";".join(["specimen_id", *(str(400 + k) for k in range(120)), "protein"])
+    (tmp_path / "both.txt").write_text(head + "\n" + "".join(";".join([f"s{i}", *(str(i + k) for k in range(120)), str(i / 2)]) + "\n" for i in range(4)))
+    rows, axis = spectral_files.read_combined_csv(spark, str(tmp_path / "both.txt"))
+    assert spectral_files.separator(spark, str(tmp_path / "both.txt")) == ";" and len(axis) == 120
+    assert {r["sample_id"]: (r["y"], r["values"][1]) for r in rows.collect()} == {f"s{i}": (i / 2, i + 1.0) for i in range(4)}
+
+
+def test_vendor_files_are_named(spark, tmp_path):
+    for name, vendor in (("a.0", "Bruker OPUS"), ("a.sp", "PerkinElmer"), ("a.seq", "Agilent")):
+        (tmp_path / name).write_bytes(b"x")
+        with pytest.raises(ValueError, match=vendor):
+            facade.read_spectra(spark, str(tmp_path / name))
