@@ -23,12 +23,12 @@ def apply_tsr(spectra: DataFrame, fitted: DataFrame) -> DataFrame:
     return spectra.withColumn("values", F.zip_with("values", lines, lambda x, k: x * k["a"] + k["b"]))
 
 
-#: Partial sums that one task of the second level adds up.
+#: Cores for each task of the second level of a sum.
 FAN_IN = 64
 
 
 def summed(pairs: DataFrame, size: int, wide: int) -> np.ndarray:
-    """The sum of a' b over rows (a of size, b of wide): each task sums its rows to one block of doubles, and a second level adds up FAN_IN blocks a task, so that blocks,
+    """The sum of a' b over rows (a of size, b of wide): each task sums its rows to one block of doubles, and the tasks of a second level add blocks up, so that blocks,
     not cells, are shuffled and few reach the driver."""
 
     def part(batches):
@@ -48,11 +48,9 @@ def summed(pairs: DataFrame, size: int, wide: int) -> np.ndarray:
         if found:
             yield pd.DataFrame({"g": [g.tobytes()]})
 
-    blocks = pairs.select("a", "b").mapInPandas(part, "g binary")
-    n = -(-pairs.rdd.getNumPartitions() // FAN_IN)
-    if n > 1:
-        blocks = blocks.repartition(n).mapInPandas(added, "g binary")
-    return sum((np.frombuffer(bytes(r["g"])) for r in blocks.toLocalIterator()), np.zeros(size * wide)).reshape(size, wide)
+    n = max(1, pairs.sparkSession.sparkContext.defaultParallelism // FAN_IN)
+    blocks = pairs.select("a", "b").mapInPandas(part, "g binary").repartition(n).mapInPandas(added, "g binary").collect()  # n blocks at most
+    return sum((np.frombuffer(bytes(r["g"])) for r in blocks), np.zeros(size * wide)).reshape(size, wide)
 
 
 def own_gram(spectra: DataFrame, size: int) -> np.ndarray:
