@@ -3,7 +3,7 @@ import struct
 import numpy as np
 import pytest
 
-from prismatic.sources import binary_files, excel, facade, spectral_files
+from prismatic.sources import binary_files, excel, facade, spectral_files, vendor_files
 
 
 @pytest.fixture()
@@ -106,8 +106,90 @@ def test_long_and_sniffed_tables(spark, tmp_path):
     assert {r["sample_id"]: (r["y"], r["values"][1]) for r in rows.collect()} == {f"s{i}": (i / 2, i + 1.0) for i in range(4)}
 
 
-def test_vendor_files_are_named(spark, tmp_path):
-    for name, vendor in (("a.0", "Bruker OPUS"), ("a.sp", "PerkinElmer"), ("a.seq", "Agilent")):
-        (tmp_path / name).write_bytes(b"x")
-        with pytest.raises(ValueError, match=vendor):
+def opus_file(values, first, last, kind=(3, 4), factor=1.0, more=()):
+    """One spectrum of (side, kind), and further ones."""
+    blocks = []
+    for v, (side, of) in [(values, kind), *more]:
+        status = b"".join(n + b"\0" + struct.pack("<HH", t, len(x) // 2) + x for n, t, x in [(b"NPT", 0, struct.pack("<i", len(v))), (b"FXV", 1, struct.pack("<d", first)), (b"LXV", 1, struct.pack("<d", last)), (b"CSF", 1, struct.pack("<d", factor)), (b"DXU", 3, b"WN\0\0")])
+        code = 3 | side << 2 | of << 10
+        blocks += [(code, np.array(v, "<f4").tobytes()), (code | 1 << 4, status + b"END\0" + bytes(8))]
+    at, directory = 24 + 12 * len(blocks), b""
+    for code, body in blocks:
+        directory += struct.pack("<Iii", code, len(body) // 4, at)
+        at += len(body)
+    return b"\x0a\x0a\xfe\xfe" + struct.pack("<diii", 920622.0, 24, 40, len(blocks)) + directory + b"".join(b for _, b in blocks)
+
+
+def sp_file(values, first, last):
+    member = lambda code, body: struct.pack("<hi", code, len(body)) + body
+    inner = member(-29838, b"??????") + member(-29837, struct.pack("<hdd", 29979, first, last)) + member(-29834, struct.pack("<hi", 29995, len(values)))
+    inner += member(-29828, struct.pack("<hi", 29974, 8 * len(values)) + np.array(values, "<f8").tobytes())
+    return b"PEPE" + b"made".ljust(40, b"\0") + member(121, b"history") + member(120, inner)
+
+
+def image_files(folder, stem, tiles, step, first, ending=".seq"):
+    """tiles: channels x pixels each."""
+    head = bytearray(2300)
+    struct.pack_into("<d", head, 2216, step)
+    struct.pack_into("<i", head, 2228, first)
+    struct.pack_into("<i", head, 2236, len(tiles[0]))
+    (folder / f"{stem}{ending}").write_bytes(bytes(head))
+    for k, t in enumerate(tiles):
+        name = f"{stem}.dat" if ending == ".seq" else f"{stem}_0000_{k:04d}.dmd"
+        (folder / name).write_bytes(bytes(4 * 255) + np.array(t, "<f4").tobytes())
+
+
+def test_vendor_bytes():
+    values = [0.25, 0.5, 0.75]
+    assert vendor_files.opus_of(opus_file(values, 3000.0, 1000.0)) == ([1000.0, 2000.0, 3000.0], [0.75, 0.5, 0.25])
+    # absorbance goes before transmittance, that before a sample's and a reference's spectrum, wherever they stand; a scale factor counts
+    assert vendor_files.opus_of(opus_file([9.0] * 3, 1.0, 3.0, (2, 1), more=[([8.0] * 3, (1, 1)), (values, (3, 5))]))[1] == values
+    assert vendor_files.opus_of(opus_file(values, 1.0, 3.0, factor=2.0))[1] == [0.5, 1.0, 1.5]
+    assert vendor_files.sp_of(sp_file(values, 4000.0, 400.0)) == ([400.0, 2200.0, 4000.0], [0.75, 0.5, 0.25])
+    assert vendor_files.asp_of(b"3\n900.0\n700.0\n1\n2\n4\n0.1\n0.2\n0.3\n") == ([700.0, 800.0, 900.0], [0.3, 0.2, 0.1])
+    for parse, raw in ((vendor_files.opus_of, b"x" * 99), (vendor_files.sp_of, b"x" * 99), (vendor_files.sp_of, b"PEPE" + bytes(40)), (vendor_files.opus_of, opus_file(values, 1.0, 3.0, (1, 2)))):
+        with pytest.raises(ValueError):
+            parse(raw)
+
+
+def test_vendor_folders(spark, tmp_path):
+    n = 120
+    values = {name: [k / 64 + i for k in range(n)] for i, name in enumerate(("a", "b"))}
+    folders = {kind: tmp_path / kind for kind in ("opus", "perkinelmer", "agilent")}
+    for f in folders.values():
+        f.mkdir()
+    for name, v in values.items():
+        (folders["opus"] / f"{name}.0").write_bytes(opus_file([0.0] * n, 1000.0, 1000.0 + n - 1))
+        (folders["opus"] / f"{name}.1").write_bytes(opus_file(v, 1000.0, 1000.0 + n - 1))  # the last of equal stems stays
+        (folders["perkinelmer"] / f"{name}.SP").write_bytes(sp_file(v, 1000.0, 1000.0 + n - 1))
+        (folders["agilent"] / f"{name}.asp").write_text("\n".join(map(str, [n, 1000.0, 1000.0 + n - 1, 1, 2, 4, *v])))
+    for kind, folder in folders.items():
+        read, axis = facade.read_spectra(spark, str(folder))
+        assert axis == [1000.0 + k for k in range(n)] and {r["sample_id"]: r["values"] for r in read.collect()} == values, kind
+    one, _ = facade.read_spectra(spark, str(folders["opus"] / "b.0"))
+    assert [r["values"] for r in one.collect()] == [[0.0] * n]
+
+
+@pytest.mark.parametrize("ending,count", [(".seq", 1), (".dmt", 3)])
+def test_agilent_images(spark, tmp_path, ending, count):
+    n = 110
+    tiles = [np.arange(n * 4).reshape(n, 4) + 1000.0 * k for k in range(count)]
+    image_files(tmp_path, "scan", tiles, 2.0, 500, ending)
+    every = np.concatenate(tiles, axis=1)
+    want = {"total": every.sum(axis=1), "mean": every.mean(axis=1), "first": every[:, 0]}
+    for path in (tmp_path, tmp_path / f"scan{ending}"):
+        for mode, v in want.items():
+            read, axis = facade.read_spectra(spark, str(path), "agilent", mode=mode)
+            assert axis == [1000.0 + 2 * k for k in range(n)] and [(r["sample_id"], r["values"]) for r in read.collect()] == [("scan", v.tolist())]
+    with pytest.raises(ValueError):
+        facade.read_spectra(spark, str(tmp_path), "agilent", mode="some")
+
+
+def test_broken_vendor_files_are_named(spark, tmp_path):
+    for name in ("a.0", "a.sp", "a.asp"):
+        (tmp_path / name).write_bytes(b"1")
+        with pytest.raises(Exception, match=name):
             facade.read_spectra(spark, str(tmp_path / name))
+    (tmp_path / "a.bsw").write_bytes(b"1")
+    with pytest.raises(ValueError, match="bsw"):
+        facade.read_spectra(spark, str(tmp_path / "a.bsw"))
