@@ -63,6 +63,26 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secret_scans": r"""
+            WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS t FROM documents),
+            patterns(kind, name, p, g) AS (
+                VALUES (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2),
+                       (1, 'access', '(AKIA[A-Z0-9]+)', 1), (2, 'hex', '([0-9a-f]+)', 1), (3, 'owner', '([A-Za-z0-9+/_-]+)', 1)),
+            m AS (
+                SELECT doc_id, owner, repo, kind, name, unnest(range(len(m))) AS i, unnest(m) AS m, unnest(v) AS v, unnest(b[1:len(m)]) AS b
+                FROM (SELECT *, CASE g WHEN 2 THEN regexp_extract_all(t, p, 2) ELSE regexp_extract_all(t, p, 1) END AS v,
+                             regexp_extract_all(t, p) AS m, regexp_split_to_array(t, p) AS b FROM d, patterns)),
+            s AS MATERIALIZED (
+                SELECT doc_id, owner, repo, kind, name, v, sum(length(b) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e, length(m) AS n FROM m
+                QUALIFY length(v) >= CASE kind WHEN 0 THEN 6 WHEN 2 THEN 24 ELSE 20 END
+                    AND (kind < 3 OR regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]'))),
+            live AS (SELECT v, count(DISTINCT owner) <= 1 AND count(DISTINCT (owner, repo)) <= 2 AS live FROM s GROUP BY v),
+            l AS (SELECT doc_id, kind, live, e - n AS a, name || ':' || (e - n) || ':' || e AS span FROM s JOIN live USING (v))
+            SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+                   sha256(coalesce(string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256,
+                   coalesce(string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3 OR live), '') AS spans,
+                   count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+            FROM d LEFT JOIN l USING (doc_id) GROUP BY doc_id""",
         "op2_exact_dedup": r"""
             WITH d AS (
                 SELECT doc_id, length(coalesce(text, '')) AS size,
@@ -73,6 +93,38 @@ def oracle_sql() -> dict[str, str]:
                        count(*) OVER (PARTITION BY text_sha256) AS group_size
                 FROM d)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r""",
+        "op4_sentence_spans": r"""
+            WITH cut AS (
+                SELECT coalesce(doc_id, -9223372036854775808) AS doc_id,
+                       regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?…][ \t]+)', '\1' || chr(57344), 'g'),
+                           chr(57344) || '([\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)', '\1', 'g'),
+                           '(\n+)', '\1' || chr(57344), 'g'), chr(57344)) AS s
+                FROM documents),
+            every AS MATERIALIZED (
+                SELECT doc_id, k, s, list_filter(regexp_split_to_array(s, '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS w
+                FROM (SELECT doc_id, unnest(range(len(s))) AS k, unnest(s) AS s FROM (SELECT doc_id, list_filter(s, lambda x: x <> '') AS s FROM cut))),
+            filled AS MATERIALIZED (
+                SELECT doc_id, k, row_number() OVER o AS f, sum(len(w)) OVER o - len(w) AS a, sum(len(w)) OVER o AS b, array_to_string(w, ' ') AS t
+                FROM every WHERE len(w) > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+            texts AS MATERIALIZED (SELECT doc_id, list(t ORDER BY f) AS t FROM filled GROUP BY doc_id),
+            bounds AS (
+                SELECT x.doc_id, x.f AS a, y.f AS b, x.k AS first, y.k AS last FROM filled x ASOF JOIN filled y ON x.doc_id = y.doc_id AND x.a + 15 <= y.b
+                UNION
+                SELECT x.doc_id, x.f, y.f, x.k, y.k FROM filled y ASOF JOIN filled x ON x.doc_id = y.doc_id AND y.b - 15 >= x.a),
+            runs AS MATERIALIZED (SELECT doc_id, a, b, first, last, array_to_string(t[a:b], chr(31)) AS t FROM bounds JOIN texts USING (doc_id)),
+            gone AS (
+                SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS k
+                FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, a, b) > 1)),
+            kept AS MATERIALIZED (SELECT e.doc_id, e.k, e.s, g.k IS NOT NULL AS dead FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.k = g.k),
+            islands AS (
+                SELECT doc_id, min(k) AS a, max(k) AS b
+                FROM (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM kept WHERE dead) GROUP BY doc_id, i),
+            removed AS (SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS r FROM islands GROUP BY doc_id),
+            whole AS (
+                SELECT doc_id, count(*) AS n, count(*) FILTER (dead) AS d, coalesce(string_agg(s, '' ORDER BY k) FILTER (NOT dead), '') AS c FROM kept GROUP BY doc_id)
+            SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(d, 0) AS n_removed, coalesce(r, '') AS removed_spans,
+                   coalesce(c, '') AS clean_text, length(coalesce(c, '')) AS kept_chars
+            FROM documents d LEFT JOIN whole w ON w.doc_id = d.doc_id LEFT JOIN removed r ON r.doc_id = d.doc_id""",
         "op6_chat_format": r"""
             WITH t AS (
                 SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
