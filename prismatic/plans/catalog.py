@@ -367,4 +367,4 @@ def smote_balance(spark, sf_dir):
     return spectra.long(multivariate.smote(spectra.from_embeddings(spark, sf_dir), "label"), "label")
 
 
-from prismatic.plans import model_queries  # noqa: E402, F401  registers further queries
+from prismatic.plans import model_queries, file_queries  # noqa: E402, F401, I001  registers further queries

@@ -74,8 +74,8 @@ def asd_of(raw: bytes) -> tuple[list[float], list[float]]:
 READERS = {"spc": spc_of, "asd": asd_of}
 
 
-def read_binary_spectra(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """sample_id (the file's stem), axis and values, one row a file, of spc or binary asd files under path (a glob or folder)."""
+def spectra_of(contents: DataFrame, kind: str) -> DataFrame:
+    """sample_id, axis and values from sample_id and content, the bytes of a file."""
     parse = READERS[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,5 +83,20 @@ def read_binary_spectra(spark: SparkSession, path: str, kind: str) -> DataFrame:
             found = [parse(bytes(c)) for c in b["content"]]
             yield pd.DataFrame({"sample_id": b["sample_id"], "axis": [a for a, _ in found], "values": [v for _, v in found]})
 
+    return contents.select(F.col("sample_id").cast("string").alias("sample_id"), "content").mapInPandas(run, "sample_id string, axis array<double>, values array<double>")
+
+
+def spc_contents(spectra: DataFrame, axis: list[float]) -> DataFrame:
+    """sample_id and content: each spectrum as the bytes of an SPC file."""
+
+    @F.pandas_udf("binary")
+    def written(values: pd.Series) -> pd.Series:
+        return pd.Series([spc_bytes(axis, v) for v in values], dtype=object)
+
+    return spectra.select("sample_id", written("values").alias("content"))
+
+
+def read_binary_spectra(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """sample_id (the file's stem), axis and values, one row a file, of spc or binary asd files under path (a glob or folder)."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("sample_id"), "content")
-    return files.mapInPandas(run, "sample_id string, axis array<double>, values array<double>")
+    return spectra_of(files, kind)
