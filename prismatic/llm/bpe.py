@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .shared import as_array, ids_and_texts, materialize, pack, ragged, unpack
-from .wordblocks import SCHEMA, VALUES, blocks, buckets_for, dealt, header, reassembled, record, stepped, tokens_of, unstepped
+from .wordblocks import SCHEMA, VALUES, blocks, buckets_for, by_bucket, dealt, header, reassembled, record, stepped, tokens_of, unstepped
 
 @functools.cache
 def stable() -> str:
@@ -99,24 +99,23 @@ def encode(docs: DataFrame, path: str, pattern: str) -> tuple[DataFrame, DataFra
     table = materialize(blocks(docs, split, hashes, n), "bpe-blocks")
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs = [(b, unpack(d.as_py())) for batch in batches for b, d in zip(batch.column(1).to_pylist(), batch.column(3))]
-        if not packs:
-            return
-        own = [tokens_of(p) for _, p in packs]
-        coded = as_array(pa.chunked_array([w for _, w in own])).dictionary_encode()
-        enc = encoding(path, pattern)
-        ids = [enc.encode_ordinary(w) for w in coded.dictionary.to_pylist()]
-        lens = np.array([len(x) for x in ids], dtype=np.int64)
-        flat, start = np.array([y for x in ids for y in x], dtype=np.uint32), np.cumsum(lens) - lens
-        which, lo, rows = np.asarray(coded.indices).astype(np.int64), 0, []
-        for (block, _), (codes, _) in zip(packs, own):
-            w = which[lo : lo + len(codes)]
-            lo += len(codes)
-            rows.append((VALUES, block, -1, pack(stepped(codes), lens[w].astype(np.uint32), ragged(flat, start[w], lens[w]))))
-            if len(rows) >= 512:
-                yield record(rows)
-                rows = []
-        yield record(rows)
+        enc = None
+        for packs in by_bucket(batches):
+            enc = enc or encoding(path, pattern)
+            own = [tokens_of(p) for _, p in packs]
+            coded = as_array(pa.chunked_array([w for _, w in own])).dictionary_encode()
+            ids = [enc.encode_ordinary(w) for w in coded.dictionary.to_pylist()]
+            lens = np.array([len(x) for x in ids], dtype=np.int64)
+            flat, start = np.array([y for x in ids for y in x], dtype=np.uint32), np.cumsum(lens) - lens
+            which, lo, rows = np.asarray(coded.indices).astype(np.int64), 0, []
+            for (block, _), (codes, _) in zip(packs, own):
+                w = which[lo : lo + len(codes)]
+                lo += len(codes)
+                rows.append((VALUES, block, -1, pack(stepped(codes), lens[w].astype(np.uint32), ragged(flat, start[w], lens[w]))))
+                if len(rows) >= 512:
+                    yield record(rows)
+                    rows = []
+            yield record(rows)
 
     return table, dealt(table, n).mapInArrow(bucket, SCHEMA)
 

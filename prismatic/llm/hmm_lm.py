@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import as_array, ids_and_texts, materialize, pack, remainder, unpack, words_of
-from .wordblocks import DOCS, VALUES, blocks, buckets_for, dealt, header, reassembled, stepped, tokens_of, unstepped
+from .wordblocks import DOCS, VALUES, blocks, buckets_for, by_bucket, dealt, header, reassembled, stepped, tokens_of, unstepped
 
 #: Tokens of a stretch, and stretches in one matrix of the training pass; results don't depend on them.
 SEGMENT = 64
@@ -154,23 +154,26 @@ def count_blocks(docs: DataFrame, n_buckets: int, by: int, held: int, classes: i
 
 
 def global_counts(table: DataFrame, n_buckets: int, classes: int) -> DataFrame:
-    """For each pack the training counts of its words; and, with kind 3, words and distinct words of each class in the bucket."""
+    """For each pack the training counts of its words; and, with kind 3, words and distinct words of each class in the task's buckets."""
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs = [(b, unpack(d.as_py())) for batch in batches for b, d in zip(batch.column(1).to_pylist(), batch.column(3))]
-        if not packs:
-            return
-        own = [tokens_of(p) for _, p in packs]
-        coded = as_array(pa.chunked_array([w for _, w in own])).dictionary_encode()
-        which = np.asarray(coded.indices).astype(np.int64)
-        seen = np.bincount(which, weights=np.concatenate([np.frombuffer(p[3], np.int64) for _, p in packs]), minlength=len(coded.dictionary)).astype(np.int64)
-        cls = (hashes(coded.dictionary) % np.uint64(classes)).astype(np.int64)
-        rows, lo = [], 0
-        for (block, _), (codes, _) in zip(packs, own):
-            rows.append((VALUES, block, pack(stepped(codes), seen[which[lo : lo + len(codes)]]), None, None, None))
-            lo += len(codes)
-        n, v = np.bincount(cls, weights=seen, minlength=classes).astype(np.int64), np.bincount(cls, weights=seen > 0, minlength=classes).astype(np.int64)
-        rows += [(3, -1, None, int(c), int(n[c]), int(v[c])) for c in np.flatnonzero(v)]
+        n_all, v_all = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64)
+        for packs in by_bucket(batches):
+            own = [tokens_of(p) for _, p in packs]
+            coded = as_array(pa.chunked_array([w for _, w in own])).dictionary_encode()
+            which = np.asarray(coded.indices).astype(np.int64)
+            seen = np.bincount(which, weights=np.concatenate([np.frombuffer(p[3], np.int64) for _, p in packs]), minlength=len(coded.dictionary)).astype(np.int64)
+            cls = (hashes(coded.dictionary) % np.uint64(classes)).astype(np.int64)
+            n_all += np.bincount(cls, weights=seen, minlength=classes).astype(np.int64)
+            v_all += np.bincount(cls, weights=seen > 0, minlength=classes).astype(np.int64)
+            rows, lo = [], 0
+            for (block, _), (codes, _) in zip(packs, own):
+                rows.append((VALUES, block, pack(stepped(codes), seen[which[lo : lo + len(codes)]]), None, None, None))
+                lo += len(codes)
+            yield from batched(rows)
+        yield from batched([(3, -1, None, int(c), int(n_all[c]), int(v_all[c])) for c in np.flatnonzero(v_all)])
+
+    def batched(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
         for lo in range(0, len(rows), 2048):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 2048]), kinds)], ["kind", "block", "data", "cls", "n", "v"])

@@ -4,6 +4,7 @@ A block is some megabytes of documents of one task. It is written once, as codes
 the token's hash into packs. A bucket task sees every pack with its tokens, computes one value for each distinct token of the corpus, and sends
 the values back to the blocks. A frequent token comes once from each block, so no token is hot. Buckets grow in number with the input, so a
 bucket's size doesn't; a block sends at most one pack for each bucket and at most one for each of its tokens, so packs grow in proportion to the input.
+Tasks of that shuffle stop growing at MOST_TASKS: from there on a task takes several buckets, one after another, and holds one at a time.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ DOCS, TOKENS, VALUES = 0, 1, 2
 BLOCK_BYTES = 32_000_000
 #: Input bytes for one bucket.
 BUCKET_BYTES = 8_000_000
+#: Most tasks that buckets are dealt to. Spark keeps something for each pair of tasks on both sides of a shuffle, so their number has to stop somewhere.
+MOST_TASKS = 20_000
 
 
 def buckets_for(docs: DataFrame) -> int:
@@ -117,8 +120,25 @@ def tokens_of(pack_data: list[bytes]) -> tuple[np.ndarray, pa.Array]:
 
 
 def dealt(table: DataFrame, n_buckets: int) -> DataFrame:
-    """The token packs of table, all of a bucket in one partition."""
-    return table.where(F.col("kind") == TOKENS).repartitionById(n_buckets, F.col("bucket"))
+    """The token packs of table, all of a bucket in one partition and there in a row."""
+    n, packs = min(n_buckets, MOST_TASKS), table.where(F.col("kind") == TOKENS)
+    if n == n_buckets:
+        return packs.repartitionById(n, F.col("bucket"))
+    return packs.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """(block, pack) of each bucket of a partition that dealt() made."""
+    now, held = None, []
+    for batch in batches:
+        for block, bucket, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            if held and bucket != now:
+                yield held
+                held = []
+            now = bucket
+            held.append((block, unpack(data.as_py())))
+    if held:
+        yield held
 
 
 def reassembled(table: DataFrame, values: DataFrame, finish: Callable, schema: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from prismatic.llm import bpe, chat, components, exact_dedup, hmm_lm, near_dedup, packing, secrets, sentence_dedup, shared, toxicity, vafile
+from prismatic.llm import bpe, chat, components, exact_dedup, hmm_lm, near_dedup, packing, secrets, sentence_dedup, shared, toxicity, vafile, wordblocks
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash string, key string, score string, block int, `__salt` int"
@@ -548,3 +548,13 @@ def test_pipeline_without_labels_or_documents(spark, tmp_path):
         assert {r["predicted"] for r in found} == {0} and all(0.49 < r["score"] < 0.5 for r in found)
     written(spark, f"{tmp_path}/none", [], [], again=())
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_tasks_with_several_buckets(docs, monkeypatch):
+    path = P.path("byte_bpe_50k.tiktoken")
+    results = lambda: [sorted(map(str, f.collect())) for f in (bpe.round_trip(docs, path, P.PATTERN), hmm_lm.scored(docs).select("doc_id", "n_known", "train_tokens", F.round("base_score", 6), F.round("score", 4)))]
+    usual = results()
+    for module in (bpe, hmm_lm):
+        monkeypatch.setattr(module, "buckets_for", lambda docs: 37)
+    monkeypatch.setattr(wordblocks, "MOST_TASKS", 3)
+    assert results() == usual
