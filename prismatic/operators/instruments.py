@@ -24,25 +24,30 @@ def fwhm(v: np.ndarray, axis: np.ndarray, peak: int) -> float:
     return float(abs(out[1] - out[0]))
 
 
-def characterized(spectra: DataFrame, instrument: str, axes: dict[str, list[float]], prominence: float = 0.05) -> DataFrame:
-    """A row for each instrument: samples, ends and steps of its axis, whether that is a computed grid, roughness, peaks and their width, and detail
-    (root of roughness over the step), in order of detail."""
+# What a peak of a spectrum scaled to [0, 1] must have: prominence, places to the next, places of width.
+PROMINENCE, DISTANCE, WIDTH = 0.05, 5, 2.0
+
+
+def characterized(spectra: DataFrame, instrument: str, axes: dict[str, list[float]], prominence: float = PROMINENCE, distance: int = DISTANCE, wide: float = WIDTH) -> DataFrame:
+    """A row for each instrument: samples, ends and steps of its axis, whether that is a computed grid, roughness, peaks, their width and sharpness (height over
+    width), and detail (root of roughness over the step), in order of detail."""
 
     def peaks(batches):
         for b in batches:
-            n, width = [], []
+            n, width, sharp = [], [], []
             for name, v in zip(b[instrument], b["values"]):
                 x, axis = np.asarray(v), np.asarray(axes[name])
                 x = (x - x.min()) / (np.ptp(x) or 1.0)
-                at = find_peaks(x, prominence)
-                w = [y for y in (fwhm(x, axis, i) for i in at) if y == y]
+                at = find_peaks(x, prominence, distance, wide)
+                w = [(y, x[i] / y) for i, y in ((i, fwhm(x, axis, i)) for i in at) if y > 0]
                 n.append(len(at))
-                width.append(float(np.mean(w)) if w else None)
-            yield b[[instrument]].assign(rough=b["rough"], n_peaks=n, width=width)
+                width.append(float(np.mean([y for y, _ in w])) if w else None)
+                sharp.append(float(np.mean([y for _, y in w])) if w else None)
+            yield b[[instrument]].assign(rough=b["rough"], n_peaks=n, width=width, sharp=sharp)
 
     rows = spectra.select(instrument, "values", arrays.roughness(F.col("values")).alias("rough"))
-    each = rows.mapInPandas(peaks, f"{instrument} string, rough double, n_peaks int, width double")
-    stats = each.groupBy(instrument).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg("rough")).alias("roughness"), F.avg("n_peaks").alias("mean_peaks"), F.avg("width").alias("mean_fwhm"))
+    each = rows.mapInPandas(peaks, f"{instrument} string, rough double, n_peaks int, width double, sharp double")
+    stats = each.groupBy(instrument).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg("rough")).alias("roughness"), F.avg("n_peaks").alias("mean_peaks"), F.avg("width").alias("mean_fwhm"), F.avg("sharp").alias("mean_sharpness"))
     about = []
     for name, axis in axes.items():
         step = np.diff(axis)

@@ -91,6 +91,29 @@ def vcpa(spark: SparkSession, x: np.ndarray, y: np.ndarray, outer: int = 5, draw
     return best
 
 
+def least_related(alike: np.ndarray, first: int, n: int) -> list[int]:
+    """first, then always the channel that the chosen ones have least squared correlation with in sum."""
+    out, total = [first], alike[first].copy()
+    while len(out) < min(n, len(alike)):
+        total[out[-1]] = np.inf
+        out.append(int(np.argmin(total)))
+        total += alike[out[-1]]
+    return out
+
+
+def scored_spa(spark: SparkSession, x: np.ndarray, y: np.ndarray, n: int, starts: int = 10, components: int = 5, k: int = 5, seed: int = 42) -> list[int]:
+    """n little related channels in order of choice: of the runs from the channel most correlated with y and from random others, the one of least error in
+    cross-validation. Runs are scored in tasks."""
+    e, r = x - x.mean(0), y - y.mean()
+    size = np.sqrt((e**2).sum(0))
+    e = np.divide(e, size, out=np.zeros_like(e), where=size > 0)
+    lead = int(np.argmax(np.abs(e.T @ r)))
+    others = np.random.default_rng(seed).permutation(np.delete(np.arange(x.shape[1]), lead))[: starts - 1]
+    alike = (e.T @ e) ** 2
+    runs = [least_related(alike, int(first), n) for first in [lead, *others]]
+    return runs[int(np.argmin(scored_subsets(spark, x, y, runs, components, k)))]
+
+
 def compared(spark: SparkSession, x: np.ndarray, y: np.ndarray, n: int = 30, k: int = 5) -> list[dict]:
     """method, n_channels, rmse in cross-validation and seconds of SPA, CARS and VCPA."""
     import time

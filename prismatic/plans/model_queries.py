@@ -286,6 +286,11 @@ def uve_spa_channels(spark, sf_dir):
     return listed(spark, wavelengths.uve_spa(*calibration(spark, sf_dir), 8))
 
 
+@query()
+def spa_channels(spark, sf_dir):
+    return listed(spark, sorted(wavelengths.scored_spa(spark, *calibration(spark, sf_dir), 8)))
+
+
 @query()
 def compare_sample_selections(spark, sf_dir):
     return spark.createDataFrame(report.compared_selections(spectra.from_embeddings(spark, sf_dir), 30, "label"), "method string, mean_distance double, min_distance double, coverage double")

@@ -22,6 +22,18 @@ def test_wavelength_selection(spark, data):
     assert {10, 25} <= set(wavelengths.vcpa(spark, x, y, 3, 30))
 
 
+def test_scored_projections(spark, data):
+    x, y = data
+    x = np.hstack([x, x[:, [10]] + 0.01 * x[:, [3]], np.ones((80, 1))])  # a copy of the best channel, and a constant one
+    got = wavelengths.scored_spa(spark, x, y, 6, starts=4)
+    assert len(set(got)) == 6 and {10, 40} - set(got)
+    r = np.nan_to_num(np.corrcoef(x.T)) ** 2
+    for k in range(1, 6):
+        left = [c for c in range(42) if c not in got[:k]]
+        assert r[got[:k]].sum(0)[got[k]] == pytest.approx(min(r[got[:k]].sum(0)[left]), abs=1e-12)
+    assert sorted(wavelengths.scored_spa(spark, x[:, :3], y, 9)) == [0, 1, 2]
+
+
 def test_boosting(data):
     x, y = data
     m = NeuralBoosted(n=80, rate=0.2).fit(x[:60, [10, 25]], y[:60])
@@ -36,6 +48,7 @@ def test_instruments(spark):
     df = spark.createDataFrame([("fine", (peak + 0.01 * np.sin(np.arange(50) * 2)).tolist()), ("soft", peak.tolist())], "instrument string, values array<double>")
     rows = instruments.characterized(df, "instrument", {"fine": axis, "soft": axis}).collect()
     assert [r["instrument"] for r in rows] == ["fine", "soft"] and rows[1]["mean_fwhm"] == pytest.approx(2.355 * 3, rel=0.03) and rows[1]["interpolated"]
+    assert rows[1]["mean_sharpness"] == pytest.approx(1 / rows[1]["mean_fwhm"], rel=0.05)
     both, grid = instruments.equalized({"a": (df, axis), "b": (df.withColumn("values", F.slice("values", 1, 25)), axis[::2])})
     assert grid == [float(k) for k in range(0, 49, 2)] and both.count() == 4
     assert instruments.smoothing_between(peak, axis, peak, axis, [0, 1, 2]) == 0
