@@ -380,3 +380,6 @@ def instrument_profiles(spark, sf_dir):
     s = spectra.from_embeddings(spark, sf_dir).withColumn("instrument", F.when(F.col("sample_id") % 2 == 0, "even").otherwise("odd"))
     axis = [400.0 + k for k in range(spectra.channels(s))]
     return instruments.characterized(s, "instrument", {"even": axis, "odd": [400 + 2 * (w - 400) for w in axis]})
+
+
+from prismatic.plans import file_queries  # noqa: E402, F401  registers further queries
