@@ -43,3 +43,9 @@ def test_dosc(many):
     e = x - fitted.x_mean
     got = np.stack(multivariate.dosc(df, "y", 2, 3).orderBy("sample_id").toPandas()["values"])
     assert np.allclose(got, e - (e @ v) @ v.T, atol=1e-6)
+
+
+def test_ipls(spark, many):
+    df, x, y, fold = many
+    for a, b, r2 in wavelengths.ipls_of(spark, moments.by_fold(df, "y"), 3, 2):
+        assert r2 == pytest.approx(max(0, 1 - rmse(x[:, a:b], y, fold, 2) ** 2 / y.var()))
