@@ -49,3 +49,27 @@ def test_ipls(spark, many):
     df, x, y, fold = many
     for a, b, r2 in wavelengths.ipls_of(spark, moments.by_fold(df, "y"), 3, 2):
         assert r2 == pytest.approx(max(0, 1 - rmse(x[:, a:b], y, fold, 2) ** 2 / y.var()))
+
+
+def plain_jypls(m, s, t, folds, most):
+    """As it was on the driver."""
+    x, target = np.concatenate([m, s]), np.concatenate([t, t])
+    errors = []
+    for k in range(1, most + 1):
+        each = []
+        for test in np.array_split(np.arange(len(x)), folds):
+            train = np.setdiff1d(np.arange(len(x)), test)
+            each.append(np.sqrt(((target[test] - Pls(k).fit(x[train], target[train]).predict(x[test])) ** 2).mean()))
+        errors.append(np.mean(each))
+    fitted = Pls(1 + int(np.argmin(errors))).fit(x, target)
+    scores = (x - fitted.x_mean) @ fitted.w @ np.linalg.pinv(fitted.p.T @ fitted.w)
+    tm, ts = scores[: len(t)], scores[len(t) :]
+    return fitted.w @ np.linalg.solve(ts.T @ ts + 1e-6 * np.eye(ts.shape[1]), ts.T @ tm) @ fitted.p.T
+
+
+def test_jypls(many):
+    df, x, y, fold = many
+    slave = df.withColumn("values", F.transform("values", lambda v, k: v * (1 + 0.01 * k) + F.sin(v)))
+    s = np.stack(slave.orderBy("sample_id").toPandas()["values"])
+    for folds in (5, 7):
+        assert np.allclose(transfer.fit_jypls(df, slave, df, "y", folds=folds, most=4)["matrix"], plain_jypls(x, s, y, folds, 4), atol=1e-8)
