@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismatic.functions import registry
-from prismatic.functions.linalg import Pls, Ridge
-from prismatic.operators import multivariate, spectra, transfer
+from prismatic.functions.linalg import Pls
+from prismatic.operators import moments, multivariate, spectra, transfer
 from prismatic.operators.registry import Registry
 from prismatic.plans.catalog import LONG, query, rounded, two_sources
 from prismatic.plans.model_queries import PAIR, first_channels, pairs
@@ -93,7 +93,7 @@ def saved_model_predictions(spark, sf_dir):
     """Ridge on two channels, saved and loaded; it finds its channels among all by wavelength."""
     s, axis = written(spark, sf_dir)
     path = scratch.folder(spark, "model")
-    models.save_model(spark, Ridge(1.0).fit(*multivariate.calibration(first_channels(s), "label")), path, [axis[10] + 0.004, axis[40]])
+    models.save_model(spark, moments.fitted_ridge(moments.whole(first_channels(s), "label"), 1.0), path, [axis[10] + 0.004, axis[40]])
     model, wanted, _ = models.load_model(spark, path)
     from prismatic.operators.search import predicted
 
