@@ -73,3 +73,12 @@ def test_jypls(many):
     s = np.stack(slave.orderBy("sample_id").toPandas()["values"])
     for folds in (5, 7):
         assert np.allclose(transfer.fit_jypls(df, slave, df, "y", folds=folds, most=4)["matrix"], plain_jypls(x, s, y, folds, 4), atol=1e-8)
+
+
+def test_scored_spa(spark, many):
+    df, x, y, fold = many
+    got = wavelengths.scored_spa_of(spark, moments.by_fold(df, "y"), 4, 3, 3)
+    r = np.corrcoef(x.T) ** 2
+    for k in range(1, 4):
+        left = [c for c in range(10) if c not in got[:k]]
+        assert r[got[:k]].sum(0)[got[k]] == pytest.approx(r[got[:k]].sum(0)[left].min())
