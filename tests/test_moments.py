@@ -82,3 +82,10 @@ def test_scored_spa(spark, many):
     for k in range(1, 4):
         left = [c for c in range(10) if c not in got[:k]]
         assert r[got[:k]].sum(0)[got[k]] == pytest.approx(r[got[:k]].sum(0)[left].min())
+
+
+def test_uve(spark, many):
+    df, x, y, fold = many
+    noise = moments.noise(df.select(F.xxhash64(F.lit(43), "sample_id").alias("k")).toPandas()["k"].to_numpy(), 10)
+    assert abs(noise.mean()) < 0.01 and abs(noise.std() - 1) < 0.01 and np.abs(np.corrcoef(noise.T) - np.eye(10)).max() < 0.05
+    assert {2, 7} <= set(np.flatnonzero(wavelengths.uve_of_rows(df, "y")))
