@@ -89,3 +89,9 @@ def test_uve(spark, many):
     noise = moments.noise(df.select(F.xxhash64(F.lit(43), "sample_id").alias("k")).toPandas()["k"].to_numpy(), 10)
     assert abs(noise.mean()) < 0.01 and abs(noise.std() - 1) < 0.01 and np.abs(np.corrcoef(noise.T) - np.eye(10)).max() < 0.05
     assert {2, 7} <= set(np.flatnonzero(wavelengths.uve_of_rows(df, "y")))
+
+
+def test_uve_spa(spark, many):
+    df, x, y, fold = many
+    assert wavelengths.projected(moments.whole(df, "y").scatter[:-1, :-1], 6, N) == spa(x, 6)
+    assert len(wavelengths.uve_spa_of_rows(df, "y", 8, cutoff=0.0)) == 8
