@@ -95,3 +95,7 @@ def test_uve_spa(spark, many):
     df, x, y, fold = many
     assert wavelengths.projected(moments.whole(df, "y").scatter[:-1, :-1], 6, N) == spa(x, 6)
     assert len(wavelengths.uve_spa_of_rows(df, "y", 8, cutoff=0.0)) == 8
+
+
+def test_vcpa(spark, many):
+    assert {2, 7} <= set(wavelengths.vcpa_of(spark, moments.by_fold(many[0], "y"), 2, 20))
