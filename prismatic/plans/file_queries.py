@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismatic.functions import registry
-from prismatic.functions.linalg import Pls
 from prismatic.operators import moments, multivariate, spectra, transfer
 from prismatic.operators.registry import Registry
 from prismatic.plans.catalog import LONG, query, rounded, two_sources
@@ -104,7 +103,7 @@ def saved_model_predictions(spark, sf_dir):
 @query(f"""WITH {LONG}, w AS (SELECT ch, covar_pop(value, label) AS w FROM lng GROUP BY ch)
            SELECT ch, round(sqrt(count(*) OVER () * w * w / sum(w * w) OVER ()), 6) AS vip FROM w""")
 def vip_of_one_component(spark, sf_dir):
-    fitted = Pls(1).fit(*multivariate.calibration(spectra.from_embeddings(spark, sf_dir), "label"))
+    fitted = moments.fitted_pls(moments.whole(spectra.from_embeddings(spark, sf_dir), "label"), 1)
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(registry.importances(fitted))], "ch int, vip double"), "vip")
 
 
