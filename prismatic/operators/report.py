@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismatic.functions.linalg import f_quantile, kennard_stone
-from prismatic.operators.multivariate import MAX_SAMPLES, principal
+from prismatic.operators.multivariate import principal
 from prismatic.operators.search import prepared
 
 # Samples that describe a model's domain: all of a small set, else this many in Kennard-Stone order; and components.
@@ -78,15 +78,16 @@ def compared_selections(spectra: DataFrame, n: int, y: str | None = None, seed:
     """Mean and least distance between the samples that each method chooses, and the part of the channels' ranges that they cover."""
     from prismatic.operators import multivariate
 
-    rows = spectra.select("sample_id", "values").orderBy("sample_id").limit(MAX_SAMPLES + 1).toPandas().set_index("sample_id")
-    if len(rows) > MAX_SAMPLES:
-        raise ValueError(f"takes at most {MAX_SAMPLES} samples")
-    every = np.stack(rows["values"])
-    made = {"kennard_stone": multivariate.selected_samples(spectra, n), "duplex": multivariate.duplex(spectra, n, min(n, len(rows) - n)).where("part = 'calibration'"), "random": multivariate.random_samples(spectra.select("sample_id"), "sample_id", n, seed)}
-    made |= {"spxy": multivariate.selected_samples(spectra, n, y)} if y else {}
+    lo, hi = multivariate.channel_ranges(spectra)
+    order = multivariate.ordered_samples(spectra, n + min(n, spectra.count() - n))
+    dealt = multivariate.dealt_in_turn([i for i, _, _ in order], n, len(order) - n)
+    made = {"kennard_stone": [i for i, _, _ in order[:n]], "duplex": [i for i, part in dealt if part == "calibration"], "random": [r["sample_id"] for r in multivariate.random_samples(spectra.select("sample_id"), "sample_id", n, seed).collect()]}
+    made |= {"spxy": [i for i, _, _ in multivariate.ordered_samples(spectra, n, y)]} if y else {}
+    every = {i for ids in made.values() for i in ids}
+    values = {r["sample_id"]: np.array(r["values"]) for r in spectra.select("sample_id", "values").where(F.col("sample_id").isin(sorted(every))).collect()}
     out = []
-    for name, chosen in made.items():
-        x = np.stack(rows.loc[[r["sample_id"] for r in chosen.collect()], "values"])
+    for name, ids in made.items():
+        x = np.stack([values[i] for i in ids])
         d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))[np.triu_indices(len(x), 1)]
-        out.append({"method": name, "mean_distance": float(d.mean()), "min_distance": float(d.min()), "coverage": float(np.mean(np.ptp(x, axis=0) / np.where(np.ptp(every, axis=0) > 0, np.ptp(every, axis=0), 1)))})
+        out.append({"method": name, "mean_distance": float(d.mean()), "min_distance": float(d.min()), "coverage": float(np.mean(np.ptp(x, axis=0) / np.where(hi > lo, hi - lo, 1)))})
     return out
