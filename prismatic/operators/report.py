@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismatic.functions.linalg import f_quantile, kennard_stone
-from prismatic.operators.multivariate import principal
+from prismatic.operators.multivariate import principal, spaced
 from prismatic.operators.search import prepared
 
 # Samples that describe a model's domain: all of a small set, else this many in Kennard-Stone order; and components.
@@ -49,12 +49,28 @@ def domain(x: np.ndarray, k: int = MAX_COMPONENTS) -> dict:
     _, s, vt = np.linalg.svd(x - mean, full_matrices=False)
     v = vt[: max(1, min(k, int((s > 1e-10 * (s[0] or 1)).sum())))].T
     scores = (x - mean) @ v
-    some = scores if len(x) <= SMALL else scores[kennard_stone(scores, min(DESCRIBED, len(x)))]
+    return described(mean, v, scores if len(x) <= SMALL else scores[kennard_stone(scores, min(DESCRIBED, len(x)))])
+
+
+def described(mean: np.ndarray, v: np.ndarray, some: np.ndarray) -> dict:
     d = np.sqrt(np.maximum(0, (some**2).sum(1)[:, None] + (some**2).sum(1)[None] - 2 * some @ some.T))[np.triu_indices(len(some), 1)]
     p = np.percentile(d, [50, 75, 95, 100]) if len(d) else np.zeros(4)
     return {"mean": mean, "loadings": v, "scores": some, "p50": p[0], "p75": p[1], "p95": p[2], "max": p[3]}
 
 
+def domain_of_rows(spectra: DataFrame, k: int = MAX_COMPONENTS) -> dict:
+    """domain() of any number of rows: loadings from their scatter, scores in Kennard-Stone order from tasks."""
+    mean, v, var, n = principal(spectra, k)
+    v = v[:, : max(1, int((var > 1e-14 * (var[0] or 1)).sum()))]  # below that a scatter matrix tells nothing
+
+    @F.pandas_udf("array<double>")
+    def scored(x: pd.Series) -> pd.Series:
+        return pd.Series(list((np.stack(x) - mean) @ v)) if len(x) else x
+
+    rows = spectra.select("sample_id", scored("values").alias("values"), F.lit(0.0).alias("y"))
+    return described(mean, v, np.stack([s for _, s, _ in spaced(rows, n if n <= SMALL else DESCRIBED)]))
+
+
 def predicted(spectra: DataFrame, fitted, of: dict, rmsecv: float, preprocess: str = "raw", window: int = 7) -> DataFrame:
     """spectra with pred, spread (of a forest's trees, else the error of cross-validation), distance to the nearest described sample, and trust: good up to
     the 75th percentile, caution up to the 95th, else extrapolation."""
