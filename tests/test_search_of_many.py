@@ -52,3 +52,13 @@ def checked(got, x, y, fold):
 def test_grid(many):
     df, x, y, fold = many
     checked(search.searched(df, "y", ("PLS", "Ridge"), ("raw", "snv", "deriv"), (7,), max_components=3).collect(), x, y, fold)
+
+
+def test_subsets_and_regions(many):
+    df, x, y, fold = many
+    got = search.searched(df, "y", ("PLS",), ("raw", "snv_deriv"), (7,), orders=(1, 2), counts=(3,), regions=2, region_size=4, region_step=2, max_components=2).collect()
+    assert {"full", "top3", "top2regions"} <= {r["subset"] for r in got}
+    checked(got, x, y, fold)
+    one = next(r for r in got if r["subset"] == "top3" and r["preprocess"] == "raw")
+    order = np.argsort(-registry.importances(model("PLS", json.loads(one["params"])).fit(x, y)), kind="stable")
+    assert one["all_vars"] == ",".join(f"{k:.1f}" for k in sorted(order[:3]))
