@@ -62,3 +62,9 @@ def test_subsets_and_regions(many):
     one = next(r for r in got if r["subset"] == "top3" and r["preprocess"] == "raw")
     order = np.argsort(-registry.importances(model("PLS", json.loads(one["params"])).fit(x, y)), kind="stable")
     assert one["all_vars"] == ",".join(f"{k:.1f}" for k in sorted(order[:3]))
+
+
+def test_given_folds(many):
+    """Rows outside the folds are learned from alone."""
+    df, x, y, _ = many
+    checked(search.searched(df, "y", ("Ridge",), ("raw",), folds=2, fold="own").collect(), x, y, np.arange(N) % 3 - 1)
