@@ -68,3 +68,9 @@ def test_given_folds(many):
     """Rows outside the folds are learned from alone."""
     df, x, y, _ = many
     checked(search.searched(df, "y", ("Ridge",), ("raw",), folds=2, fold="own").collect(), x, y, np.arange(N) % 3 - 1)
+
+
+def test_classes(spark, many):
+    df = many[0].selectExpr("sample_id", "slice(values, 1, 3) as values", "y > 0 as kind")
+    got = search.searched_classes(df, "kind", ("PLS-DA",), ("raw",), folds=2, max_components=2).collect()
+    assert len(got) == 1 and 0.5 < got[0]["accuracy"] <= 1
