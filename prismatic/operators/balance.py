@@ -77,7 +77,8 @@ def tomek_links(df: DataFrame, label: str) -> DataFrame:
     """sample_id pairs (a, b) of different classes that are each other's nearest neighbour; sets of calibration size."""
     import numpy as np
 
-    from prismatic.operators.resampling import MAX_SAMPLES, tomek
+    from prismatic.operators.multivariate import MAX_SAMPLES
+    from prismatic.operators.resampling import tomek
 
     rows = df.select("sample_id", "values", F.col(label).alias("y")).orderBy("sample_id").limit(MAX_SAMPLES + 1).toPandas()
     if len(rows) > MAX_SAMPLES:
