@@ -34,3 +34,16 @@ def rows_of(query, folder):
 def test_subsets(tmp_path):
     found = {r["subset"] for r in rows_of("search_subsets", tmp_path)}
     assert {"full", "top10", "top5regions"} <= found and any(s.startswith("region_") for s in found)
+
+
+def test_variable_subsets(tmp_path):
+    """Against the SQL."""
+    import duckdb
+
+    from prismatic.plans.catalog import SQL
+
+    got = rows_of("search_variable_subsets", tmp_path)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet'")
+    want = db.execute(SQL["search_variable_subsets"]).fetchall()
+    assert len(want) == 10 and sorted(tuple(r.values()) for r in got) == sorted(want)
