@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from prismatic.functions import boosting, learners, linalg
 from prismatic.functions.linalg import Ridge
 
-KNOWN = {c.__name__: c for c in (linalg.Pls, linalg.Ridge, linalg.ElasticNet, boosting.Net, boosting.NeuralBoosted, learners.Tree, learners.Forest, learners.GradientBoosted, learners.KernelRegression, learners.Perceptron, learners.Logistic, learners.PlsDa, learners.OneVsRest, learners.BoostedNetworks)}
+KNOWN = {c.__name__: c for c in (linalg.Pls, linalg.Ridge, linalg.ElasticNet, boosting.Net, boosting.NeuralBoosted, learners.Tree, learners.ShareTree, learners.Forest, learners.ShareForest, learners.GradientBoosted, learners.KernelRegression, learners.Perceptron, learners.Logistic, learners.PlsDa, learners.OneVsRest, learners.BoostedNetworks)}
 #: What a fitted model doesn't need.
 LEFT_OUT = {"rng", "make"}
 

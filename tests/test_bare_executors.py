@@ -47,3 +47,8 @@ def test_variable_subsets(tmp_path):
     db.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet'")
     want = db.execute(SQL["search_variable_subsets"]).fetchall()
     assert len(want) == 10 and sorted(tuple(r.values()) for r in got) == sorted(want)
+
+
+def test_class_search(tmp_path):
+    got = rows_of("class_search", tmp_path)
+    assert len(got) == 16 and {r["model"] for r in got} == {"PLS-DA", "RandomForest"} and all(0 <= r["accuracy"] <= 1 for r in got)
